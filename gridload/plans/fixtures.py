@@ -95,7 +95,7 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("y_proba")
     variants = F.array(
         F.struct(F.lit("base").alias("model"), p.alias("y_proba")),
-        F.struct(F.lit("flat").alias("model"), F.round(0.25 + p / 2, 6).alias("y_proba")),
+        F.struct(F.lit("flat").alias("model"), F.round(0.25 + p / 2, 7).alias("y_proba")),
         F.struct(F.lit("square").alias("model"), F.round(p * p, 6).alias("y_proba")),
     )
     return (
@@ -139,7 +139,7 @@ VIEWS = {
                CAST(json_extract_string(props, '$.k') AS int) AS k FROM events)""",
     "models": """
   SELECT 'base' AS model, event_id, ts, y_true, y_proba FROM scored
-  UNION ALL SELECT 'flat', event_id, ts, y_true, round(0.25e0 + y_proba / 2e0, 6) FROM scored
+  UNION ALL SELECT 'flat', event_id, ts, y_true, round(0.25e0 + y_proba / 2e0, 7) FROM scored
   UNION ALL SELECT 'square', event_id, ts, y_true, round(y_proba * y_proba, 6) FROM scored""",
 }
 NEEDS = {"wide": ("hourly",), "gaps": ("hourly",), "models": ("scored",)}
