@@ -117,37 +117,55 @@ class SeriesWindows:
         return self.ordered().rowsBetween(-(rows - 1), 0)
 
 
+Stage = Callable[[SeriesWindows], dict[str, Column]]
+
+
+def number_rows(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT) -> DataFrame:
+    """Attach row positions for several window passes to share.
+
+    Later ``with_series_windows`` calls on the result skip the numbering and keep the
+    ``_position`` column; valid as long as no row is added or removed in between.
+    """
+    return time_position(df, layout, _POSITION)
+
+
+def drop_numbers(df: DataFrame) -> DataFrame:
+    return df.drop(_POSITION)
+
+
 def with_series_windows(
     df: DataFrame,
     halo: int,
-    build: Callable[[SeriesWindows], dict[str, Column]],
+    stages: Stage | Sequence[Stage],
     layout: SeriesLayout = DEFAULT_LAYOUT,
 ) -> DataFrame:
     """Add window columns that look back at most ``halo`` rows.
 
-    All columns share one partitioning, so the whole set costs one window pass.
+    All columns of all stages share one partitioning and sort order, so the whole set
+    costs one window pass. A later stage may read columns of an earlier one; ``halo``
+    is then the sum of the stages' look-backs.
     """
+    stages = [stages] if callable(stages) else list(stages)
     if layout.chunk_rows is None:
-        return df.withColumns(build(SeriesWindows(layout.keys, layout.time)))
+        spec = SeriesWindows(layout.keys, layout.time)
+        for stage in stages:
+            df = df.withColumns(stage(spec))
+        return df
     if halo > layout.chunk_rows:
         raise ValueError(f"halo of {halo} rows exceeds chunk_rows={layout.chunk_rows}")
     size = layout.chunk_rows
+    numbered = _POSITION in df.columns
+    cut = df if numbered else number_rows(df, layout)
     home = F.floor(F.col(_POSITION) / size)
     lent = F.col(_POSITION) % size >= size - halo
-    cut = (
-        time_position(df, layout, _POSITION)
-        .withColumn(_HOME, home)
-        .withColumn(
-            _CHUNK,
-            F.explode(F.when(lent, F.array(home, home + 1)).otherwise(F.array(home))),
-        )
+    cut = cut.withColumn(_HOME, home).withColumn(
+        _CHUNK, F.explode(F.when(lent, F.array(home, home + 1)).otherwise(F.array(home)))
     )
     spec = SeriesWindows((*layout.keys, _CHUNK), _POSITION)
-    return (
-        cut.withColumns(build(spec))
-        .filter(F.col(_CHUNK) == F.col(_HOME))
-        .drop(_POSITION, _CHUNK, _HOME)
-    )
+    for stage in stages:
+        cut = cut.withColumns(stage(spec))
+    extra = [_CHUNK, _HOME] + ([] if numbered else [_POSITION])
+    return cut.filter(F.col(_CHUNK) == F.col(_HOME)).drop(*extra)
 
 
 def split_index(splits: Column, value: Column, buckets: int) -> Column:

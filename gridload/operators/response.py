@@ -7,15 +7,23 @@ the action of another hour, so hours can be handled in any order and in parallel
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridload.functions.calendar import flag
 from gridload.functions.scalars import divide_by_maximum, fixed, title_case
 from gridload.operators.curves import scenario_array
-from gridload.operators.ordering import DEFAULT_LAYOUT, SeriesLayout, with_series_windows
+from gridload.operators.ordering import (
+    DEFAULT_LAYOUT,
+    SeriesLayout,
+    SeriesWindows,
+    Stage,
+    with_series_windows,
+)
 from gridload.operators.select import peak_hours
-from gridload.operators.stress import COP, DEMAND, label_dynamic, threshold_columns
+from gridload.operators.stress import COP, DEMAND, threshold_columns
 
 STRATEGIES = ("conservative", "aggressive", "adaptive")
 # fixed values: share of the shift fraction each strategy applies, severity limit
@@ -30,6 +38,51 @@ SCENARIOS = (
 )
 
 
+def _marked(mask: str) -> Column:
+    return F.coalesce(F.col(mask).cast("boolean"), F.lit(False))
+
+
+def _response_stages(
+    df: DataFrame,
+    strategy: str,
+    shift_fraction: float,
+    mask: str,
+    demand: str,
+    cop: str,
+    window: int,
+) -> tuple[list[Stage], int]:
+    """Steps that add the response columns, and how far they look back."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    stages: list[Stage] = []
+    look_back = 0
+    if strategy == "adaptive":
+        if not {"demand_threshold", "cop_threshold"} <= set(df.columns):
+            stages.append(lambda win: threshold_columns(win, demand, cop, window=window))
+            look_back = window - 1
+        severity = (
+            F.try_divide(F.col(demand), F.col("demand_threshold"))
+            + F.try_divide(F.col("cop_threshold"), F.col(cop))
+        ) / 2
+        limited = F.when(severity.isNotNull(), F.least(severity, F.lit(SEVERITY_LIMIT)))
+        change = -(F.col(demand) * shift_fraction * limited)
+    else:
+        severity = F.lit(None).cast("double")
+        change = -(F.col(demand) * (shift_fraction * STRATEGY_SHARE[strategy]))
+    stages.append(
+        lambda win: {
+            "severity_factor": F.when(_marked(mask), severity),
+            "demand_change": F.when(_marked(mask), change),
+        }
+    )
+    stages.append(
+        lambda win: {
+            "adjusted_demand": F.col(demand) + F.coalesce(F.col("demand_change"), F.lit(0.0))
+        }
+    )
+    return stages, look_back
+
+
 def respond(
     df: DataFrame,
     strategy: str = "conservative",
@@ -47,36 +100,13 @@ def respond(
     thresholds from the original demand, reusing ``demand_threshold`` and
     ``cop_threshold`` when the table has them; without a full window it does nothing.
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy: {strategy}")
-    marked = F.coalesce(F.col(mask).cast("boolean"), F.lit(False))
-    if strategy == "adaptive":
-        if not {"demand_threshold", "cop_threshold"} <= set(df.columns):
-            df = with_series_windows(
-                df,
-                window - 1,
-                lambda win: threshold_columns(win, demand, cop, window=window),
-                layout,
-            )
-        severity = (
-            F.try_divide(F.col(demand), F.col("demand_threshold"))
-            + F.try_divide(F.col("cop_threshold"), F.col(cop))
-        ) / 2
-        change = -(
-            F.col(demand)
-            * shift_fraction
-            * F.when(severity.isNotNull(), F.least(severity, F.lit(SEVERITY_LIMIT)))
-        )
-    else:
-        severity = F.lit(None).cast("double")
-        change = -(F.col(demand) * (shift_fraction * STRATEGY_SHARE[strategy]))
-    return (
-        df.withColumn("severity_factor", F.when(marked, severity))
-        .withColumn("demand_change", F.when(marked, change))
-        .withColumn(
-            "adjusted_demand", F.col(demand) + F.coalesce(F.col("demand_change"), F.lit(0.0))
-        )
+    stages, look_back = _response_stages(
+        df, strategy, shift_fraction, mask, demand, cop, window
     )
+    if look_back == 0:
+        # nothing looks at other rows: a plain projection
+        return with_series_windows(df, 0, stages, replace(layout, chunk_rows=None))
+    return with_series_windows(df, look_back, stages, layout)
 
 
 def action_list(
@@ -98,14 +128,18 @@ def action_list(
     )
 
 
-def _relabel(
-    df: DataFrame, adjusted: str, cop: str, window: int, layout: SeriesLayout
-) -> DataFrame:
+def _relabel_stages(adjusted: str, cop: str, window: int) -> list[Stage]:
     """``stress_after``: the rolling label evaluated on adjusted demand."""
-    kept = df.drop("stress_hour", "high_demand", "low_cop", "demand_threshold", "cop_threshold")
-    return label_dynamic(kept, adjusted, cop, window=window, layout=layout).withColumnRenamed(
-        "stress_hour", "stress_after"
-    )
+
+    def limits(win: SeriesWindows) -> dict[str, Column]:
+        found = threshold_columns(win, adjusted, cop, window=window)
+        return {f"_after_{name}": column for name, column in found.items()}
+
+    def mark(win: SeriesWindows) -> dict[str, Column]:
+        high = F.col(adjusted) >= F.col("_after_demand_threshold")
+        return {"stress_after": flag(high & (F.col(cop) <= F.col("_after_cop_threshold")))}
+
+    return [limits, mark]
 
 
 def _reduction(original: str, after: str) -> list[Column]:
@@ -131,13 +165,15 @@ def response_impact(
 ) -> DataFrame:
     """Stress hours before and after, demand change and action count per group.
 
-    Groups without stress hours report ``strategy='none'`` and zeros.
+    Acting and relabelling share one window pass. Groups without stress hours report ``strategy='none'`` and zeros.
     """
-    acted = respond(df, strategy, shift_fraction, mask, demand, cop, window, layout)
-    marked = acted.withColumn("_marked", F.coalesce(F.col(mask).cast("int"), F.lit(0)))
-    after = _relabel(marked, "adjusted_demand", cop, window, layout)
+    stages, look_back = _response_stages(
+        df, strategy, shift_fraction, mask, demand, cop, window
+    )
+    stages += _relabel_stages("adjusted_demand", cop, window)
+    after = with_series_windows(df, look_back + window - 1, stages, layout)
     totals = after.groupBy(*keys).agg(
-        F.sum("_marked").cast("bigint").alias("stress_hours_original"),
+        F.count_if(_marked(mask)).alias("stress_hours_original"),
         F.sum("stress_after").cast("bigint").alias("_after"),
         F.coalesce(F.sum("demand_change"), F.lit(0.0)).alias("_change"),
     )
@@ -301,10 +337,11 @@ def shift_impact(
         F.count(F.lit(1)).alias("_actions"), F.avg("shiftable_demand").alias("_mean")
     )
     shifted = apply_shift(df, plan, demand, keys, layout.time)
-    marked = shifted.withColumn("_marked", F.coalesce(F.col(mask).cast("int"), F.lit(0)))
-    after = _relabel(marked, "adjusted_demand", cop, window, layout)
+    after = with_series_windows(
+        shifted, window - 1, _relabel_stages("adjusted_demand", cop, window), layout
+    )
     totals = after.groupBy(*keys).agg(
-        F.sum("_marked").cast("bigint").alias("stress_hours_original"),
+        F.count_if(_marked(mask)).alias("stress_hours_original"),
         F.sum("stress_after").cast("bigint").alias("_after"),
         F.sum("shift_change").alias("_change"),
     )

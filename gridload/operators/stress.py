@@ -13,6 +13,7 @@ from gridload.operators.ordering import (
     DEFAULT_LAYOUT,
     SeriesLayout,
     SeriesWindows,
+    Stage,
     with_series_windows,
 )
 from gridload.operators.quantiles import quantile_columns
@@ -42,6 +43,20 @@ def dynamic_flags(demand: str = DEMAND, cop: str = COP) -> dict[str, Column]:
     return {"stress_hour": flag(high & low), "high_demand": flag(high), "low_cop": flag(low)}
 
 
+def dynamic_stages(
+    demand: str = DEMAND,
+    cop: str = COP,
+    demand_percentile: float = 90,
+    cop_percentile: float = 10,
+    window: int = 168,
+) -> list[Stage]:
+    """The two steps of the rolling label, for use inside a longer window pass."""
+    return [
+        lambda win: threshold_columns(win, demand, cop, demand_percentile, cop_percentile, window),
+        lambda win: dynamic_flags(demand, cop),
+    ]
+
+
 def label_dynamic(
     df: DataFrame,
     demand: str = DEMAND,
@@ -57,15 +72,8 @@ def label_dynamic(
     """
     if not {demand, cop} <= set(df.columns):
         return df.withColumn("stress_hour", F.lit(0))
-    thresholds = with_series_windows(
-        df,
-        window - 1,
-        lambda win: threshold_columns(
-            win, demand, cop, demand_percentile, cop_percentile, window
-        ),
-        layout,
-    )
-    return thresholds.withColumns(dynamic_flags(demand, cop))
+    stages = dynamic_stages(demand, cop, demand_percentile, cop_percentile, window)
+    return with_series_windows(df, window - 1, stages, layout)
 
 
 def seasonal_thresholds(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridload.operators import curves, response, stress
+from gridload.operators.ordering import number_rows
 from gridload.plans.fixtures import daily, hourly, with_views
 from gridload.plans.registry import query, rounded
 from gridload.plans.series_queries import (
@@ -21,7 +22,8 @@ DAY = (
 
 
 def labelled(spark, sf_dir):
-    return stress.label_dynamic(hourly(spark, sf_dir), window=24, layout=SMALL_CHUNKS)
+    rows = number_rows(hourly(spark, sf_dir), SMALL_CHUNKS)
+    return stress.label_dynamic(rows, window=24, layout=SMALL_CHUNKS)
 
 
 def adjusted_sql(change: str) -> tuple[tuple[str, str], ...]:
