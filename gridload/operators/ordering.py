@@ -214,14 +214,19 @@ def running_totals(
     """
     buckets = buckets or range_count(df)
     fractions = F.expr("array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
-    df = df.select(*keys, order, *sums).dropna(subset=[*keys, order])
-    # counting every column keeps this branch identical to the main one up to its
-    # shuffle, so Spark runs that shuffle once and reuses it
-    seen = [F.count(c).alias(f"_seen_{i}") for i, c in enumerate(df.columns)]
+    # Every branch below filters and reads the same columns, so that Spark runs the
+    # shuffle behind ``df`` once and reuses it; hence the explicit null filters and
+    # the otherwise idle maxima.
+    df = df.select(*keys, order, *sums)
+    for column in (*keys, order):
+        df = df.filter(F.col(column).isNotNull())
     cuts = (
         df.groupBy(*split_keys)
-        .agg(F.percentile_approx(order, fractions, 10 * buckets).alias(_SPLITS), *seen)
-        .filter(" and ".join(f"_seen_{i} >= 0" for i in range(len(seen))))
+        .agg(
+            F.percentile_approx(order, fractions, 10 * buckets).alias(_SPLITS),
+            *[F.max(s).alias(f"_max_{s}") for s in sums],
+        )
+        .filter(" and ".join(f"_max_{s} is not null" for s in sums))
         .select(*split_keys, _SPLITS)
     )
     if split_keys:
