@@ -168,7 +168,8 @@ class CostSensitiveClassifier:
             learner = self._built_in(label, negatives + positives * weight)
         else:
             learner = self.estimator.copy()
-            learner.set(learner.featuresCol, _FEATURES).set(learner.labelCol, label)
+            learner.set(learner.featuresCol, _FEATURES)
+            learner.set(learner.labelCol, label)
             if learner.hasParam("weightCol"):
                 learner.set(learner.weightCol, _WEIGHT)
         model = Pipeline(stages=[assembler, learner]).fit(weighted)

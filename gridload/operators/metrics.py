@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridload.functions.calendar import flag
 from gridload.functions.scalars import fixed
 from gridload.operators.ordering import running_totals, split_index
-from gridload.operators.profile import class_distribution
 
 LABEL, SCORE, PREDICTED = "y_true", "y_proba", "y_pred"
 OPTIMISED = ("f1", "gmean", "balanced_accuracy", "youden")
@@ -23,9 +23,9 @@ THRESHOLD_METRICS = (
     "accuracy", "precision", "recall", "f1", "gmean", "balanced_accuracy", "youden_j"
 )
 # fixed values: 81 decision thresholds from 0.10 to 0.90
-THRESHOLD_GRID = tuple(round(0.10 + i / 100, 2) for i in range(81))
+THRESHOLD_GRID = tuple(float(t) for t in np.linspace(0.1, 0.9, 81))
 # fixed values: inner edges of ten equal score bins
-BIN_EDGES = tuple(i / 10 for i in range(1, 10))
+BIN_EDGES = tuple(float(e) for e in np.linspace(0.0, 1.0, 11)[1:-1])
 
 
 def predict_at(threshold: float | Column, score: str = SCORE) -> Column:
@@ -50,13 +50,17 @@ def confusion_counts(
     predicted: str = PREDICTED,
 ) -> DataFrame:
     """tp, fp, tn, fn per group (raw counts, also when only one class occurs)."""
+    return df.groupBy(*keys).agg(*_confusion_aggregates(label, predicted))
+
+
+def _confusion_aggregates(label: str, predicted: str) -> list[Column]:
     y, p = F.col(label), F.col(predicted)
-    return df.groupBy(*keys).agg(
+    return [
         F.count_if((y == 1) & (p == 1)).alias("tp"),
         F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 0) & (p == 0)).alias("tn"),
         F.count_if((y == 1) & (p == 0)).alias("fn"),
-    )
+    ]
 
 
 def two_classes() -> Column:
@@ -233,22 +237,32 @@ def evaluate(
     label: str = LABEL,
     predicted: str = PREDICTED,
     score: str | None = SCORE,
+    with_balance: bool = False,
 ) -> DataFrame:
     """All metrics in one row per group; without ``score`` the label metrics only."""
     keys = list(keys)
     names = [m for m in METRICS if m != "youden"]
-    counts = confusion_counts(df, keys, label, predicted)
+    aggregates = _confusion_aggregates(label, predicted)
+    kept = []
+    if score is not None:
+        gap = F.col(score) - F.col(label)
+        aggregates.append(F.avg(gap * gap).alias("brier_score"))
+        kept.append("brier_score")
     both = two_classes()
-    bundle = counts.select(
+    bundle = df.groupBy(*keys).agg(*aggregates).select(
         *keys,
         *[metric(n).alias(n) for n in names],
         *[F.when(both, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("tn", "fp", "fn", "tp")],
+        *kept,
+        (F.col("tp") + F.col("fn")).alias("_pos"),
+        (F.col("tn") + F.col("fp")).alias("_neg"),
     )
+    if not with_balance:
+        bundle = bundle.drop("_pos", "_neg")
     if score is None:
         return bundle
     areas = curve_areas(score_curve(df, keys, label, score), keys).drop("pr_area")
-    bundle = _side_by_side(bundle, areas, keys)
-    return _side_by_side(bundle, brier_score(df, keys, label, score), keys)
+    return _side_by_side(bundle, areas, keys)
 
 
 def evaluation_record(
@@ -259,22 +273,24 @@ def evaluation_record(
     score: str | None = SCORE,
 ) -> DataFrame:
     """``evaluate`` per model plus class balance and sample counts."""
-    classes = class_distribution(df, label, [model])
-    balance = classes.groupBy(model).agg(
-        F.sum("count").alias("total_samples"),
-        F.coalesce(F.max(F.when(F.col("class") == 1, F.col("count"))), F.lit(0)).alias(
-            "positive_samples"
-        ),
-        F.coalesce(F.max(F.when(F.col("class") == 0, F.col("count"))), F.lit(0)).alias(
-            "negative_samples"
-        ),
-        F.max("imbalance_ratio").alias("imbalance_ratio"),
-        F.max("minority_class_rate").alias("minority_class_rate"),
-    )
-    balance = balance.withColumn(
-        "positive_rate", F.col("positive_samples") / F.col("total_samples")
+    positives, negatives = F.col("_pos"), F.col("_neg")
+    total = positives + negatives
+    two = (positives > 0) & (negatives > 0)
+    minority, majority = F.least(positives, negatives), F.greatest(positives, negatives)
+    return (
+        evaluate(df, [model], label, predicted, score, with_balance=True)
+        .withColumns(
+            {
+                "total_samples": total,
+                "positive_samples": positives,
+                "negative_samples": negatives,
+                "imbalance_ratio": F.when(two, F.try_divide(majority, minority)),
+                "minority_class_rate": F.when(two, minority / total),
+                "positive_rate": ratio(positives, total),
+            }
+        )
+        .drop("_pos", "_neg")
     )
-    return evaluate(df, [model], label, predicted, score).join(balance, model)
 
 
 # fixed values: report column of each metric

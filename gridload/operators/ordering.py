@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy("series")`` puts every row of a series into one task, so
 one hot series stalls the job. Everything here works on bounded pieces instead:
 
-* ``add_position`` numbers rows exactly from per-bucket counts plus an in-bucket rank;
+* ``add_position`` numbers rows exactly from per-bucket counts plus an in-bucket rank,
+  ``global_position`` does so for a whole table;
 * ``with_series_windows`` cuts each series into chunks of ``chunk_rows`` rows, lends
   every chunk the last rows of the one before it (the halo), and evaluates any number
   of trailing-window columns in one pass;
@@ -20,6 +21,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridload.session import durable
+
 _BUCKET, _COUNT, _OFFSET, _RANK = "_bucket", "_bucket_rows", "_bucket_offset", "_bucket_rank"
 _POSITION, _CHUNK, _HOME, _SPLITS = "_position", "_chunk", "_home", "_splits"
 
@@ -36,7 +39,7 @@ class SeriesLayout:
 
     keys: tuple[str, ...] = ("series",)
     time: str = "ts"
-    span_hours: int = 24 * 366
+    span_hours: float = 24 * 366
     chunk_rows: int | None = 131_072
 
     def with_keys(self, *keys: str) -> SeriesLayout:
@@ -46,11 +49,12 @@ class SeriesLayout:
 DEFAULT_LAYOUT = SeriesLayout()
 
 
-def time_bucket(time: str | Column, span_hours: int) -> Column:
+def time_bucket(time: str | Column, span_hours: float) -> Column:
     """Number of the ``span_hours``-wide slot a timestamp falls in."""
     ts = F.col(time) if isinstance(time, str) else time
-    hours = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)
-    return F.floor(hours / F.lit(span_hours)).cast("bigint")
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+    return F.floor(seconds / F.lit(int(span_hours * 3600))).cast("bigint")
 
 
 def add_position(
@@ -85,6 +89,33 @@ def add_position(
     )
 
 
+def global_position(
+    df: DataFrame, order: Sequence[str], name: str = "position", total: str | None = None
+) -> DataFrame:
+    """0-based position of each row of the table in the order of unique ``order`` columns.
+
+    A range shuffle over all order columns gives balanced, sorted pieces whatever the
+    values look like; its outcome is checkpointed so that piece numbers stay put.
+    """
+    pieces = durable(
+        df.repartitionByRange(*order).withColumn(_BUCKET, F.spark_partition_id())
+    )
+    counts = pieces.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias(_COUNT))
+    # one row per shuffle partition from here on
+    running = F.sum(_COUNT).over(Window.partitionBy().orderBy(_BUCKET))
+    columns = [(running - F.col(_COUNT)).alias(_OFFSET)]
+    if total:
+        columns.append(F.sum(_COUNT).over(Window.partitionBy()).alias(total))
+    offsets = counts.select(_BUCKET, *columns)
+    inside = Window.partitionBy(_BUCKET).orderBy(*order)
+    ranked = pieces.withColumn(_RANK, F.row_number().over(inside))
+    return (
+        ranked.join(offsets, _BUCKET)
+        .withColumn(name, F.col(_OFFSET) + F.col(_RANK) - 1)
+        .drop(_BUCKET, _OFFSET, _RANK)
+    )
+
+
 def time_position(
     df: DataFrame,
     layout: SeriesLayout = DEFAULT_LAYOUT,
@@ -92,7 +123,13 @@ def time_position(
     total: str | None = None,
     ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Position of each row in time order within the layout's keys."""
+    """Position of each row in time order within the layout's keys.
+
+    Without keys the whole table is one sequence, in which a single timestamp may hold
+    any number of rows; see ``global_position``.
+    """
+    if not layout.keys:
+        return global_position(df, [layout.time, *ties], name, total)
     return add_position(
         df,
         layout.keys,

@@ -96,7 +96,7 @@ class IsolationForest(Step):
         )
         seed, depth = self.seed, max(1, math.ceil(math.log2(take)))
 
-        def build(key, part: pd.DataFrame) -> pd.DataFrame:
+        def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             tree = int(key[0])
             rows = part.sort_values("_p")[features].to_numpy(dtype="float64")
             rng = np.random.default_rng([seed, tree])

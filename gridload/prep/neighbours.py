@@ -74,7 +74,7 @@ def nearest(
 def _searcher(keys: list[str], columns: list[str], k: int) -> Callable:
     names = [*keys, _ROW, "column", "distance", "value", "donor_row"]
 
-    def search(key, probes: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, probes: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values(_ROW)
         found = []
         for row, c, distances, values, donor_rows in nearest(
