@@ -18,8 +18,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridload.session import durable
 
@@ -154,7 +158,45 @@ class SeriesWindows:
         return self.ordered().rowsBetween(-(rows - 1), 0)
 
 
-Stage = Callable[[SeriesWindows], dict[str, Column]]
+@dataclass(frozen=True)
+class TrailingQuantiles:
+    """Exact interpolated quantiles of full trailing frames.
+
+    ``wanted`` maps an output name to (column, probability, rows). Spark evaluates a
+    collecting window function anew for every row; here each sorted chunk goes through
+    an incremental rolling quantile in one Arrow batch instead, so the cost per row
+    hardly grows with the frame. Frames with missing values give null.
+    """
+
+    wanted: dict[str, tuple[str, float, int]]
+
+    def apply(self, df: DataFrame, windows: SeriesWindows) -> DataFrame:
+        wanted, order = dict(self.wanted), windows.order
+        kept = df.drop(*[c for c in wanted if c in df.columns])
+        fields = [T.StructField(name, T.DoubleType()) for name in wanted]
+        schema = T.StructType([*kept.schema.fields, *fields])
+
+        def rolling(chunk: pa.Table) -> pa.Table:
+            chunk = chunk.sort_by(order)
+            for name, (column, prob, rows) in wanted.items():
+                values = pc.cast(chunk[column], pa.float64()).to_numpy()
+                found = pd.Series(values).rolling(rows).quantile(prob)
+                chunk = chunk.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+            return chunk
+
+        return kept.groupBy(*windows.partition).applyInArrow(rolling, schema)
+
+
+Stage = Callable[[SeriesWindows], dict[str, Column]] | TrailingQuantiles
+
+
+def _evaluate(df: DataFrame, windows: SeriesWindows, stages: Sequence[Stage]) -> DataFrame:
+    for stage in stages:
+        if isinstance(stage, TrailingQuantiles):
+            df = stage.apply(df, windows)
+        else:
+            df = df.withColumns(stage(windows))
+    return df
 
 
 def number_rows(df: DataFrame, layout: SeriesLayout = DEFAULT_LAYOUT) -> DataFrame:
@@ -179,15 +221,13 @@ def with_series_windows(
     """Add window columns that look back at most ``halo`` rows.
 
     All columns of all stages share one partitioning and sort order, so the whole set
-    costs one window pass. A later stage may read columns of an earlier one; ``halo``
-    is then the sum of the stages' look-backs.
+    costs one window pass (a second ``TrailingQuantiles`` stage shuffles again; put
+    window columns before the first). A later stage may read columns of an earlier one;
+    ``halo`` is then the sum of the stages' look-backs.
     """
-    stages = [stages] if callable(stages) else list(stages)
+    stages = list(stages) if isinstance(stages, list | tuple) else [stages]
     if layout.chunk_rows is None:
-        spec = SeriesWindows(layout.keys, layout.time)
-        for stage in stages:
-            df = df.withColumns(stage(spec))
-        return df
+        return _evaluate(df, SeriesWindows(layout.keys, layout.time), stages)
     if halo > layout.chunk_rows:
         raise ValueError(f"halo of {halo} rows exceeds chunk_rows={layout.chunk_rows}")
     size = layout.chunk_rows
@@ -199,8 +239,7 @@ def with_series_windows(
         _CHUNK, F.explode(F.when(lent, F.array(home, home + 1)).otherwise(F.array(home)))
     )
     spec = SeriesWindows((*layout.keys, _CHUNK), _POSITION)
-    for stage in stages:
-        cut = cut.withColumns(stage(spec))
+    cut = _evaluate(cut, spec, stages)
     extra = [_CHUNK, _HOME] + ([] if numbered else [_POSITION])
     return cut.filter(F.col(_CHUNK) == F.col(_HOME)).drop(*extra)
 

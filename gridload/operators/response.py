@@ -23,7 +23,7 @@ from gridload.operators.ordering import (
     with_series_windows,
 )
 from gridload.operators.select import peak_hours
-from gridload.operators.stress import COP, DEMAND, threshold_columns
+from gridload.operators.stress import COP, DEMAND, rolling_thresholds
 
 STRATEGIES = ("conservative", "aggressive", "adaptive")
 # fixed values: share of the shift fraction each strategy applies, severity limit
@@ -58,7 +58,7 @@ def _response_stages(
     look_back = 0
     if strategy == "adaptive":
         if not {"demand_threshold", "cop_threshold"} <= set(df.columns):
-            stages.append(lambda win: threshold_columns(win, demand, cop, window=window))
+            stages.append(rolling_thresholds(demand, cop, window=window))
             look_back = window - 1
         severity = (
             F.try_divide(F.col(demand), F.col("demand_threshold"))
@@ -131,15 +131,11 @@ def action_list(
 def _relabel_stages(adjusted: str, cop: str, window: int) -> list[Stage]:
     """``stress_after``: the rolling label evaluated on adjusted demand."""
 
-    def limits(win: SeriesWindows) -> dict[str, Column]:
-        found = threshold_columns(win, adjusted, cop, window=window)
-        return {f"_after_{name}": column for name, column in found.items()}
-
     def mark(win: SeriesWindows) -> dict[str, Column]:
         high = F.col(adjusted) >= F.col("_after_demand_threshold")
         return {"stress_after": flag(high & (F.col(cop) <= F.col("_after_cop_threshold")))}
 
-    return [limits, mark]
+    return [rolling_thresholds(adjusted, cop, window=window, prefix="_after_"), mark]
 
 
 def _reduction(original: str, after: str) -> list[Column]:

@@ -7,7 +7,6 @@ whatever is there.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from gridload.operators.ordering import (
     DEFAULT_LAYOUT,
     SeriesLayout,
     SeriesWindows,
+    TrailingQuantiles,
     with_series_windows,
 )
 
@@ -41,19 +41,6 @@ def partial_stat(column: str, stat: str, rows: int, win: SeriesWindows) -> Colum
     return _STATS[stat](column).over(win.trailing(rows))
 
 
-def rolling_quantile(column: str, prob: float, rows: int, win: SeriesWindows) -> Column:
-    """Exact interpolated quantile of a full trailing frame.
-
-    The frame is collected once per (column, rows) and sorted; each quantile is then
-    two array reads, so several quantiles of one frame share the work.
-    """
-    values = F.sort_array(F.collect_list(column).over(win.trailing(rows)))
-    h = (rows - 1) * prob
-    low, high = math.floor(h), math.ceil(h)
-    at_low, at_high = F.get(values, F.lit(low)), F.get(values, F.lit(high))
-    return F.when(F.size(values) == rows, at_low + (at_high - at_low) * F.lit(h - low))
-
-
 def lag(column: str, rows: int, win: SeriesWindows) -> Column:
     return F.lag(column, rows).over(win.ordered())
 
@@ -70,13 +57,20 @@ def rolling_columns(
         for rows in windows:
             for stat in ("mean", "std", "max", "min"):
                 built[f"{column}_rolling_{stat}_{rows}h"] = rolling_stat(column, stat, rows, win)
-            for tail, prob in ROLLING_TAILS.items():
-                built[f"{column}_rolling_{tail}_{rows}h"] = rolling_quantile(
-                    column, prob, rows, win
-                )
     return built
 
 
+def rolling_tails(columns: Sequence[str], windows: Sequence[int]) -> TrailingQuantiles:
+    return TrailingQuantiles(
+        {
+            f"{column}_rolling_{tail}_{rows}h": (column, prob, rows)
+            for column in columns
+            for rows in windows
+            for tail, prob in ROLLING_TAILS.items()
+        }
+    )
+
+
 def lag_columns(columns: Sequence[str], lags: Sequence[int], win: SeriesWindows) -> dict[str, Column]:
     return {f"{c}_lag_{n}h": lag(c, n, win) for c in columns for n in lags}
 
@@ -89,9 +83,11 @@ def add_rolling(
 ) -> DataFrame:
     """Rolling mean, std, max, min, p90 and p10; absent columns are skipped."""
     columns = _present(df, columns)
-    return with_series_windows(
-        df, max(windows) - 1, lambda win: rolling_columns(columns, windows, win), layout
-    )
+    stages = [
+        lambda win: rolling_columns(columns, windows, win),
+        rolling_tails(columns, windows),
+    ]
+    return with_series_windows(df, max(windows) - 1, stages, layout)
 
 
 def add_lags(

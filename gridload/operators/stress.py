@@ -12,28 +12,29 @@ from gridload.functions.scalars import normalise_range
 from gridload.operators.ordering import (
     DEFAULT_LAYOUT,
     SeriesLayout,
-    SeriesWindows,
     Stage,
+    TrailingQuantiles,
     with_series_windows,
 )
 from gridload.operators.quantiles import quantile_columns
-from gridload.operators.rolling import rolling_quantile
 
 DEMAND, COP = "heat_demand_total", "cop_average"
 
 
-def threshold_columns(
-    win: SeriesWindows,
+def rolling_thresholds(
     demand: str = DEMAND,
     cop: str = COP,
     demand_percentile: float = 90,
     cop_percentile: float = 10,
     window: int = 168,
-) -> dict[str, Column]:
-    return {
-        "demand_threshold": rolling_quantile(demand, demand_percentile / 100, window, win),
-        "cop_threshold": rolling_quantile(cop, cop_percentile / 100, window, win),
-    }
+    prefix: str = "",
+) -> TrailingQuantiles:
+    return TrailingQuantiles(
+        {
+            f"{prefix}demand_threshold": (demand, demand_percentile / 100, window),
+            f"{prefix}cop_threshold": (cop, cop_percentile / 100, window),
+        }
+    )
 
 
 def dynamic_flags(demand: str = DEMAND, cop: str = COP) -> dict[str, Column]:
@@ -52,7 +53,7 @@ def dynamic_stages(
 ) -> list[Stage]:
     """The two steps of the rolling label, for use inside a longer window pass."""
     return [
-        lambda win: threshold_columns(win, demand, cop, demand_percentile, cop_percentile, window),
+        rolling_thresholds(demand, cop, demand_percentile, cop_percentile, window),
         lambda win: dynamic_flags(demand, cop),
     ]
 

@@ -30,6 +30,7 @@ from gridload.operators.rolling import (
     lag_columns,
     partial_columns,
     rolling_columns,
+    rolling_tails,
     summary_columns,
 )
 from gridload.operators.stress import COP, DEMAND, dynamic_stages, label_seasonal
@@ -87,7 +88,8 @@ def engineer(
         return {**rolling_columns(present, windows, win), **lag_columns(present, lags, win)}
 
     look_back = max(max(windows) - 1, max(lags))
-    return add_interactions(with_series_windows(dated, look_back, moving, layout))
+    stages = [moving, rolling_tails(present, windows)]
+    return add_interactions(with_series_windows(dated, look_back, stages, layout))
 
 
 def feature_info(

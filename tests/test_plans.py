@@ -6,7 +6,7 @@ import pytest
 
 from gridload.plans import catalogue
 from gridload.plans.fixtures import hourly
-from gridload.operators import stress
+from gridload.prep import features
 
 
 def plan(df) -> str:
@@ -33,13 +33,13 @@ def test_no_nested_loops(spark, sf_dir, name):
 
 
 def test_windows_run_on_chunks(spark, sf_dir):
-    text = plan(stress.label_dynamic(hourly(spark, sf_dir)))
-    series_windows = [
-        line for line in text.splitlines() if "Window [" in line and "collect_list" in line
-    ]
-    assert series_windows and all("_chunk" in line for line in series_windows)
-    # both rolling quantiles come from one window pass
-    assert len(series_windows) == 1
+    text = plan(features.engineer(hourly(spark, sf_dir)))
+    heads = [line for line in text.splitlines() if "Window [" in line and "avg(" in line]
+    # every rolling statistic and lag comes from one window pass over chunks
+    assert len(heads) == 1 and "_chunk" in heads[0]
+    # the rolling quantiles run in the same partitioning: no shuffle in between
+    between = text[text.index("FlatMapGroupsInArrow") : text.index(heads[0])]
+    assert "Exchange" not in between
 
 
 def test_scan_reads_only_what_is_used(spark, sf_dir):
