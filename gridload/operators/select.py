@@ -6,6 +6,7 @@ import logging
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,6 +217,15 @@ def feature_matrix(
     )
 
 
+def feature_vectors(
+    df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Filled feature matrix as one vector column ``features``; stays distributed."""
+    columns = list(columns) if columns else feature_columns(df)
+    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error")
+    return assembler.transform(feature_matrix(df, columns, keep)).select(*keep, "features")
+
+
 def target(df: DataFrame, column: str = "stress_hour", keep: Sequence[str] = ()) -> DataFrame:
     if column not in df.columns:
         raise ValueError(f"target column {column} not found")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gridload.functions import calendar, scalars
 from gridload.operators import select
-from gridload.plans.fixtures import EVENT_KINDS, daily, gaps, hourly, table, wide, with_views
+from gridload.plans.fixtures import (
+    EVENT_KINDS,
+    daily,
+    gaps,
+    hourly,
+    scored,
+    table,
+    wide,
+    with_views,
+)
 from gridload.plans.registry import query, rounded
+from gridload.prep.features import keep_surviving as write_back
 
 KINDS = list(EVENT_KINDS)
 
@@ -193,6 +204,44 @@ def feature_matrix(spark, sf_dir):
     return rounded(select.feature_matrix(gaps(spark, sf_dir), keep=["series", "ts"]))
 
 
+@query(
+    "feature_vectors",
+    with_views("gaps", ("m", "SELECT median(heat_demand_total) AS d FROM gaps"))
+    + """SELECT series, ts, round(coalesce(heat_demand_total, d), 6) AS first, cop_average AS second
+FROM gaps, m""",
+)
+def feature_vectors(spark, sf_dir):
+    vectors = select.feature_vectors(
+        gaps(spark, sf_dir), ["heat_demand_total", "cop_average"], ["series", "ts"]
+    )
+    cells = vector_to_array("features")
+    return vectors.select(
+        "series", "ts", F.round(cells[0], 6).alias("first"), cells[1].alias("second")
+    )
+
+
+@query(
+    "target_summary",
+    with_views("scored")
+    + """SELECT sum(y_true)::BIGINT AS positives, round(avg(y_true), 9) AS positive_rate FROM scored""",
+)
+def target_summary(spark, sf_dir):
+    return rounded(select.target_summary(scored(spark, sf_dir), "y_true"), 9)
+
+
+@query(
+    "keep_surviving",
+    with_views("gaps")
+    + """SELECT series, ts, cop_average, heat_demand_total * 2 AS heat_demand_total FROM gaps
+WHERE heat_demand_total IS NOT NULL""",
+)
+def keep_surviving(spark, sf_dir):
+    """Processed values written back; rows lost in processing are dropped."""
+    rows = gaps(spark, sf_dir)
+    processed = rows.dropna().withColumn("heat_demand_total", F.col("heat_demand_total") * 2)
+    return write_back(rows, processed, ["heat_demand_total"])
+
+
 @query(
     "proxy_cop",
     with_views(

@@ -190,6 +190,11 @@ class PreprocessorModel:
         }
 
 
+def pipeline_info(model: PreprocessorModel, features: Sequence[str]) -> dict[str, object]:
+    """Settings of the preprocessing and of the features built on top."""
+    return {"preprocessor_info": model.info(), "feature_info": feature_info(features)}
+
+
 def process(
     df: DataFrame, preprocessor: Preprocessor = Preprocessor()
 ) -> tuple[DataFrame, PreprocessorModel]:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridload.prep.base import NOT_OUTLIER_FEATURES, Fitted, Step, chosen, column_quantiles
+from gridload.session import durable
 
 _EULER = 0.5772156649015329
 _NODES = "tree int, node int, feature int, cut double, low int, high int, length double"
@@ -83,7 +84,7 @@ class IsolationForest(Step):
 
     def _fit(self, df: DataFrame) -> IsolationModel:
         columns = chosen(df, self.columns, NOT_OUTLIER_FEATURES)
-        pool = self._pool(df, columns)
+        pool = durable(self._pool(df, columns))
         size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
         take = self.sample_rows
         member = F.filter(
@@ -118,7 +119,7 @@ class IsolationForest(Step):
             "cut": None,
         }
         model = IsolationModel(state)
-        scored = model.add_score(df)
+        scored = durable(model.add_score(df).select("anomaly_score"))
         limits = column_quantiles(scored, ["anomaly_score"], [1.0 - self.contamination])
         state["cut"] = limits["anomaly_score"].get(1.0 - self.contamination)
         return IsolationModel(state)
