@@ -155,8 +155,7 @@ def outlier_scores(spark, sf_dir):
 @query("preprocess")
 def preprocess(spark, sf_dir):
     steps = features.Preprocessor(window=24, layout=SMALL_CHUNKS)
-    rows = gaps(spark, sf_dir)
-    return steps.fit(rows).transform(rows)
+    return steps.fit_transform(gaps(spark, sf_dir))[0]
 
 
 FRAME = "(PARTITION BY series ORDER BY ts ROWS 23 PRECEDING)"

@@ -98,6 +98,7 @@ def feature_info(
     lags: Sequence[int] = LAG_ROWS,
 ) -> dict[str, object]:
     """Description stored beside a processed table."""
+    # fixed values: layout and category names of the sidecar file
     return {
         "total_features": len(features),
         "feature_names": list(features),
@@ -136,6 +137,10 @@ class Preprocessor:
         return label_and_summarise(df, self.layout, self.window)
 
     def fit(self, df: DataFrame) -> PreprocessorModel:
+        return self.fit_transform(df)[1]
+
+    def fit_transform(self, df: DataFrame) -> tuple[DataFrame, PreprocessorModel]:
+        """The processed table and the model; every step runs once."""
         ready = self.prepare(df)
         columns = list(self.features) if self.features else None
         filler = None
@@ -156,7 +161,7 @@ class Preprocessor:
             ready = forest.transform(ready)
         scaled = [c for c in columns if c not in NOT_SCALED] if columns else None
         scaler = Scale(self.scaling, scaled).fit(ready)
-        return PreprocessorModel(self, filler, forest, scaler)
+        return scaler.transform(ready), PreprocessorModel(self, filler, forest, scaler)
 
 
 @dataclass(frozen=True)
@@ -199,8 +204,8 @@ def process(
     df: DataFrame, preprocessor: Preprocessor = Preprocessor()
 ) -> tuple[DataFrame, PreprocessorModel]:
     """Preprocess, engineer features on the surviving rows, and check the result."""
-    model = preprocessor.fit(df)
-    built = engineer(model.transform(df), layout=preprocessor.layout)
+    processed, model = preprocessor.fit_transform(df)
+    built = engineer(processed, layout=preprocessor.layout)
     for finding in guard_processed(built).collect():
         log.warning("%s: %s", finding["check"], finding["value"])
     return built, model

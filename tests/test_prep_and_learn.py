@@ -13,6 +13,7 @@ from gridload.learn.tuning import Search, optimise_thresholds
 from gridload.operators import checks, select
 from gridload.operators.ordering import SeriesLayout
 from gridload.plans.analysis import run_analysis
+from gridload.prep.features import Preprocessor, engineer, pipeline_info
 from gridload.prep.isolation import IsolationForest, IsolationModel
 from gridload.prep.neighbours import knn_impute
 from gridload.prep.steps import FillModel, FillStatistic, Scale
@@ -113,6 +114,21 @@ def test_isolation_forest_finds_planted_outliers(spark, hours):
     assert again.transform(df).exceptAll(kept).count() == 0
 
 
+def test_preprocessor_applies_to_its_own_and_other_rows(spark, hourly_df):
+    steps = Preprocessor(
+        imputation="median", window=24, layout=SeriesLayout(span_hours=100, chunk_rows=400)
+    )
+    processed, model = steps.fit_transform(hourly_df)
+    again = model.transform(hourly_df)
+    assert processed.count() == again.count()
+    assert abs(processed.count() / 1200 - 0.9) < 0.02
+    assert processed.columns == again.columns and "demand_lag_24h" in model.feature_names()
+    assert model.info()["scaling_method"] == "robust"
+    built = engineer(processed, layout=steps.layout)
+    assert "heat_demand_total_rolling_p90_24h" in built.columns
+    assert pipeline_info(model, ["hour"])["feature_info"]["total_features"] == 1
+
+
 def findings(report):
     return {(r["check"], r["severity"], r["column"]) for r in report.collect()}
 
