@@ -44,6 +44,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table as Parquet under the shared folder and read it back.
+
+    The result is columnar (readers fetch only the columns they need), survives lost
+    executors and has no lineage. Row order and partitioning are not kept.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that no one reads any more."""
+    spark = df.sparkSession
+    root = shared_folder(spark).split(":")[-1].lstrip("/")
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if root in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and read it back.
 
