@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import decontaminate
+from gridload.llm import decontaminate, simhash
 from gridload.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(leaks["items"], ","), 256).alias("items_sha256"),
         (leaks["n_hit"] > 0).alias("contaminated"),
     )
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "copies")
