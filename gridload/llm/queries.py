@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import decontaminate, simhash
+from gridload.llm import decontaminate, lines, secrets, simhash
 from gridload.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,54 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "copies")
+
+
+@query("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a source is an owner, its documents in one language are a repository
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+    base, every = F.col("base"), F.col("findings")
+    live = F.filter(every, lambda s: s["live"])
+    return found.select(
+        "doc_id",
+        *[secrets.count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"),
+        secrets.as_text(every).alias("spans"),
+        F.size(live).cast("bigint").alias("n_live"),
+        (F.size(every) - F.size(live)).cast("bigint").alias("n_copied"),
+    )
+
+
+@query(
+    "op6_line_dedup",
+    """
+    WITH lines AS (
+        SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    windows AS (
+        SELECT doc_id, i, trim(l[i], ' ') || chr(10) || trim(l[i + 1], ' ') || chr(10) || trim(l[i + 2], ' ') AS w
+        FROM lines, generate_series(1, len(l) - 2) AS g(i) WHERE len(l) >= 3),
+    ranked AS (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth
+        FROM windows WHERE NOT regexp_full_match(w, '\\s*')),
+    covered AS (
+        SELECT DISTINCT doc_id, i + k AS pos FROM ranked, generate_series(0, 2) AS g(k) WHERE nth > 1),
+    kept AS (
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n
+        FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM lines)
+        ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+           CAST(coalesce(len(l) - coalesce(k.n, 0), 0) AS BIGINT) AS n_removed,
+           CASE WHEN d.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5
+    FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN kept k USING (doc_id)
+    """,
+)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint"))
+    return lines.remove_repeated_lines(docs).select(
+        "doc_id",
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint").alias("n_lines"),
+        F.col("lines_removed").cast("bigint").alias("n_removed"),
+        F.md5("text").alias("text_md5"),
+    )
