@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import decontaminate, lines, secrets, simhash
+from gridload.llm import decontaminate, language, lines, secrets, simhash
+from gridload.llm.common import held_out
 from gridload.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines_removed").cast("bigint").alias("n_removed"),
         F.md5("text").alias("text_md5"),
     )
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+    )
