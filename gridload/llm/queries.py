@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import decontaminate, language, lines, secrets, simhash
+from gridload.llm import chat, decontaminate, language, lines, secrets, simhash
 from gridload.llm.common import held_out
 from gridload.session import configure
 
@@ -121,3 +121,48 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.lang").alias("lang_pred"),
         F.col("language.score").alias("score"),
     )
+
+
+_OP7_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op7_chat",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    sized AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
+               count(*) OVER (PARTITION BY conv_id) AS n,
+               length(role) + 2 * length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) + 14
+               AS chars FROM turns),
+    summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY nth) AS upto FROM sized)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           CAST(coalesce(sum(upto) FILTER (WHERE role = 'assistant' OR nth = n), 0) AS BIGINT) AS formatted_chars
+    FROM summed GROUP BY conv_id
+    """,
+)
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = turns.sparkSession.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_OP7_TEXT).alias("text"),
+    )
+    read = chat.read_back(chat.format_examples(turns.unionByName(added)))
+    told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("losses", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(told, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
