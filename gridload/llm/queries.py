@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import chat, decontaminate, language, lines, secrets, simhash
+from gridload.llm import chat, decontaminate, language, lines, mixing, secrets, simhash
 from gridload.llm.common import held_out
 from gridload.session import configure
 
@@ -166,3 +166,39 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query(
+    "op9_mixing",
+    """
+    WITH RECURSIVE counts AS (
+        SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
+    shares AS (
+        SELECT s, greatest(1, CAST(floor(1000 * power(n, 0.5e0) / sum(power(n, 0.5e0)) OVER () + 0.5e0) AS BIGINT)) AS k
+        FROM counts),
+    lists AS (SELECT list(s ORDER BY s) AS names, list(k ORDER BY s) AS ks, CAST(sum(k) AS BIGINT) AS len FROM shares),
+    steps AS (
+        SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pick, list_transform(ks, lambda k: CAST(0 AS BIGINT)) AS done
+        FROM lists
+        UNION ALL
+        SELECT t + 1, pick_now,
+               list_transform(done, lambda d, i: CASE WHEN i = pick_now THEN d + 1 ELSE d END)
+        FROM (
+            SELECT t, done, list_sort(list_filter(list_transform(ks, lambda k, i: CASE
+                       WHEN done[i] < k AND (done[i] * len) // k <= t
+                       THEN [((done[i] + 1) * len + k - 1) // k, i] END), lambda x: x IS NOT NULL))[1][2] AS pick_now
+            FROM steps, lists WHERE t < len)),
+    cycle AS (
+        SELECT names[pick] AS s, done[pick] - 1 AS nth, t - 1 AS slot FROM steps, lists WHERE t > 0),
+    numbered AS (
+        SELECT doc_id, coalesce(source, '') AS s,
+               row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r
+        FROM documents)
+    SELECT doc_id, n.s AS source, (r // 8) // k * len + c.slot AS slot, r // 8 + 1 AS block,
+           ((r // 8) * len) // k AS release, ((r // 8 + 1) * len + k - 1) // k AS deadline, r % 8 AS place
+    FROM numbered n JOIN shares USING (s), lists, cycle c WHERE c.s = n.s AND c.nth = (r // 8) % k
+    """,
+)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return found.withColumn("source", mixing.source_key("source"))
