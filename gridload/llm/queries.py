@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import chat, decontaminate, language, lines, mixing, secrets, simhash
+from gridload.llm import chat, decontaminate, language, lines, mixing, secrets, simhash, toxicity
 from gridload.llm.common import held_out
 from gridload.session import configure
 
@@ -202,3 +202,17 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return found.withColumn("source", mixing.source_key("source"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    score = F.col("toxicity.score")
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        score.alias("score"),
+        (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("toxicity.spans").alias("n_spans"),
+    )
