@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import chat, decontaminate, language, lines, mixing, secrets, simhash, toxicity
+from gridload.llm import chat, decontaminate, language, lines, mixing, neighbours, secrets, simhash, toxicity
 from gridload.llm.common import held_out
 from gridload.session import configure
 
@@ -216,3 +216,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (score >= toxicity.THRESHOLD).cast("int").alias("predicted"),
         F.size("toxicity.spans").alias("n_spans"),
     )
+
+
+@query("op3_neighbours")
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(neighbours.build_index(rows), rows.filter("vec_id % 100 = 0"))
