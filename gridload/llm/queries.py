@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import chat, decontaminate, language, lines, mixing, neighbours, secrets, simhash, toxicity
+from gridload.llm import chat, decontaminate, language, licences, lines, mixing, neighbours, secrets, simhash, toxicity
 from gridload.llm.common import held_out
 from gridload.session import configure
 
@@ -222,3 +222,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(neighbours.build_index(rows), rows.filter("vec_id % 100 = 0"))
+
+
+@query("op10_licences")
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no paths: source, language and a shelf of 100 ids are the directories
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), "doc_id")
+    return licences.scan(docs, path, file_share=0.1).withColumn("cosine", F.round("cosine", 6))
