@@ -57,7 +57,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return classes.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "copies")
+    return classes.select("doc_id", simhash.as_hex(F.col("fp")[0]).alias("fingerprint"), "component_id", "copies")
 
 
 @query("op1_secrets")

@@ -4,8 +4,14 @@ Fingerprint: A-Z to lower case, words between ASCII blanks, shingles of ``size``
 (repeats included), one XXH64 each; a bit is set where more than half the hashes have
 it. Two fingerprints link at ``budget`` or fewer differing bits.
 
-Self-join. Only distinct fingerprints take part, so exact copies cost nothing. With
-``budget // 2 + 1`` bands, any linked pair has a band with at most one differing bit.
+Longer fingerprints (``words`` of 64 bits, the further ones mixed from the same hashes)
+estimate similarity: a share ``d`` of differing bits means a cosine of ``cos(pi d)``.
+The stage of the corpus pipeline uses 256 bits over five-word shingles and links at 42
+bits, a Jaccard similarity of about 0.8.
+
+Self-join. Only distinct fingerprints take part, so exact copies cost nothing. A pair
+links if it differs in at most ``budget`` bits and in at most one bit of some band. The
+three bands of the 64-bit fingerprint make the second condition follow from the first.
 Per band the fingerprints are rotated so that this band leads; they form a binary trie
 that is walked as pairs of nodes, adding differing bits and dropping a pair of nodes as
 soon as it has more than one in the band or more than ``budget`` in all. The top ``p``
@@ -37,37 +43,52 @@ from gridload.session import written
 SHINGLE = 4
 BUDGET = 4
 BITS = 64
+#: (word, first bit, bits): a pair within BUDGET has a band with one differing bit at most
+BANDS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
+#: shingle, words, budget and bands for similarities of 0.8 and more
+LONG_SHINGLE, LONG_WORDS, LONG_BUDGET = 5, 4, 42
+LONG_BANDS = tuple((k // 4, k % 4 * 16, 16) for k in range(8))
 #: fingerprints aimed at per prefix, and the most that one cell takes from a prefix
-CELL, CELL_MOST = 16_384, 65_536
+CELL, CELL_MOST = 32_768, 65_536
 _CHUNK = 1 << 17
+_SMALL, _LARGE = 16, 1 << 12
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _fingerprint_of(text: str, size: int) -> int:
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes for a word of the fingerprint; the first takes them as they are."""
+    if not word:
+        return hashes
+    h = hashes + np.uint64(0x9E3779B97F4A7C15 * word % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _fingerprint_of(text: str, size: int, words: int = 1) -> list[int]:
+    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not found:
+        return [0] * words
+    joined = b" ".join(found)
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
-    last = min(size, len(words)) - 1
-    ends, starts = ends[last:], starts[: len(words) - last]
+    last = min(size, len(found)) - 1
+    ends, starts = ends[last:], starts[: len(found) - last]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    votes, total = np.zeros(BITS, np.int64), len(starts)
+    votes, total = np.zeros((words, BITS), np.int64), len(starts)
     for at in range(0, total, _CHUNK):
         some = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
         hashes = np.array([digest(view[a:b], seed=42) for a, b in some], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int64
-        )
-    bits = np.packbits(votes * 2 > total, bitorder="little")
-    return int(bits.view("<i8")[0])
+        for word in range(words):
+            octets = np.ascontiguousarray(_mixed(hashes, word)).view(np.uint8).reshape(-1, 8)
+            votes[word] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprint(text: Column, size: int = SHINGLE) -> Column:
-    """64-bit SimHash of a text, as a signed long."""
-    return per_text(lambda: lambda texts: [_fingerprint_of(t, size) for t in texts], "bigint")(text)
+def fingerprint(text: Column, size: int = SHINGLE, words: int = 1) -> Column:
+    """SimHash of a text: an array of ``words`` signed longs."""
+    return per_text(lambda: lambda texts: [_fingerprint_of(t, size, words) for t in texts], "array<bigint>")(text)
 
 
 def as_hex(value: Column) -> Column:
@@ -75,17 +96,21 @@ def as_hex(value: Column) -> Column:
 
 
 class TrieWalk:
-    """Walk of node pairs over the tries of rotated fingerprints in one cell."""
+    """Walk of node pairs over tries of fingerprints.
+
+    ``lead`` is the rotated word with the band in front, sorted within each trie;
+    ``full`` holds all words in the same order.
+    """
 
-    def __init__(self, values: np.ndarray, band_bits: int, budget: int) -> None:
-        self.values = values
+    def __init__(self, lead: np.ndarray, full: np.ndarray, band_bits: int, budget: int) -> None:
+        self.lead, self.full = lead, full
         self.band_bits, self.budget = band_bits, budget
-        self.root = np.arange(len(values))
+        self.root = np.arange(len(lead))
         self.ones: dict[int, np.ndarray] = {}
         self.changes: np.ndarray | None = None
 
     def join(self, a: tuple[int, int], b: tuple[int, int], depth: int, differing: int) -> None:
-        """Link the values at ``a`` with those at ``b``, two nodes (or one) at ``depth``."""
+        """Link the fingerprints at ``a`` with those at ``b``, two nodes (or one) at ``depth``."""
         stack = [(depth, np.array([[*a, *b, differing]], np.int64))]
         while stack:
             depth, pairs = stack.pop()
@@ -93,13 +118,16 @@ class TrieWalk:
                 stack += [(depth, pairs[i : i + _CHUNK]) for i in range(0, len(pairs), _CHUNK)]
                 continue
             pairs = self._not_yet_joined(pairs)
-            small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 16
-            if depth == BITS:
-                small[:] = True
+            size = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])
+            small = size <= (_SMALL if depth < BITS else _LARGE)
             self._compare(pairs[small])
             pairs = pairs[~small]
-            if len(pairs):
+            if not len(pairs):
+                continue
+            if depth < BITS:
                 stack.append((depth + 1, self._children(pairs, depth)))
+            else:  # the same word many times over: halve, so that joined parts are skipped
+                stack += [(depth, some) for some in np.array_split(self._halves(pairs), 4) if len(some)]
 
     def _not_yet_joined(self, pairs: np.ndarray) -> np.ndarray:
         if self.changes is None or not len(pairs):
@@ -108,34 +136,50 @@ class TrieWalk:
         whole = (self.changes[first] == self.changes[last]).all(axis=1)
         return pairs[~(whole & (self.root[first[:, 0]] == self.root[first[:, 1]]))]
 
+    @staticmethod
+    def _split(pairs: np.ndarray, a1: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        a0, a2, b0, b2, diff = pairs.T
+        cross = a0 != b0
+        out = np.concatenate(
+            (
+                np.column_stack((a0, a1, b0, b1, diff)),
+                np.column_stack((a1, a2, b1, b2, diff)),
+                np.column_stack((a0, a1, b1, b2, diff + 1)),
+                np.column_stack((a1, a2, b0, b1, diff + 1))[cross],
+            )
+        )
+        return out[(out[:, 0] < out[:, 1]) & (out[:, 2] < out[:, 3])]
+
+    def _halves(self, pairs: np.ndarray) -> np.ndarray:
+        out = self._split(pairs, pairs[:, :2].sum(axis=1) // 2, pairs[:, 2:4].sum(axis=1) // 2)
+        out[:, 4] = 0
+        return out
+
     def _children(self, pairs: np.ndarray, depth: int) -> np.ndarray:
         if depth not in self.ones:
-            bit = (self.values >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
+            bit = (self.lead >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
             self.ones[depth] = np.concatenate(([0], np.cumsum(bit.astype(np.int64))))
         ones = self.ones[depth]
-        a0, a2, b0, b2, diff = pairs.T
-        a1, b1 = a2 - (ones[a2] - ones[a0]), b2 - (ones[b2] - ones[b0])
-        cross = a0 != b0
-        made = [
-            np.column_stack((a0, a1, b0, b1, diff)),
-            np.column_stack((a1, a2, b1, b2, diff)),
-            np.column_stack((a0, a1, b1, b2, diff + 1)),
-            np.column_stack((a1, a2, b0, b1, diff + 1))[cross],
-        ]
-        out = np.concatenate(made)
-        most = min(1, self.budget) if depth < self.band_bits else self.budget
-        return out[(out[:, 0] < out[:, 1]) & (out[:, 2] < out[:, 3]) & (out[:, 4] <= most)]
+        a0, a2, b0, b2, _ = pairs.T
+        out = self._split(pairs, a2 - (ones[a2] - ones[a0]), b2 - (ones[b2] - ones[b0]))
+        return out[out[:, 4] <= (min(1, self.budget) if depth < self.band_bits else self.budget)]
 
     def _compare(self, pairs: np.ndarray) -> None:
-        if not len(pairs):
-            return
         width = pairs[:, 3] - pairs[:, 2]
         count = (pairs[:, 1] - pairs[:, 0]) * width
-        of = np.repeat(np.arange(len(pairs)), count)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        i, j = pairs[of, 0] + nth // width[of], pairs[of, 2] + nth % width[of]
-        near = np.bitwise_count(self.values[i] ^ self.values[j]) <= self.budget
-        self._unite(i[near], j[near])
+        total = np.cumsum(count)
+        at = 0
+        while at < len(pairs):  # about a million comparisons at a time
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+            some, wide, n = pairs[at:to], width[at:to], count[at:to]
+            of = np.repeat(np.arange(len(some)), n)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            i, j = some[of, 0] + nth // wide[of], some[of, 2] + nth % wide[of]
+            differing = np.bitwise_count(self.full[i] ^ self.full[j]).sum(axis=1, dtype=np.int64)
+            band = np.bitwise_count((self.lead[i] ^ self.lead[j]) >> np.uint64(BITS - self.band_bits))
+            near = (differing <= self.budget) & (band <= 1)
+            self._unite(i[near], j[near])
+            at = to
 
     def _unite(self, i: np.ndarray, j: np.ndarray) -> None:
         changed = False
@@ -157,56 +201,57 @@ def _rotate(values: np.ndarray, by: int) -> np.ndarray:
     return (values << np.uint64(by)) | (values >> np.uint64(BITS - by)) if by else values
 
 
-def _bands(budget: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each band; a linked pair differs by one bit at most in one."""
-    n = budget // 2 + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _walk_cells(bands: list[tuple[int, int]], prefix_bits: int, budget: int):
+def _walk_cells(bands: tuple, prefix_bits: int, budget: int):
     def walk(key: tuple, table: pa.Table) -> pa.Table:
-        band, low, high = (k.as_py() for k in key[:3])
-        by, band_bits = bands[band]
-        raw = np.frombuffer(table.column("fp").to_numpy().astype("<i8").tobytes(), "<u8")
+        band, low, high, first, second = (k.as_py() for k in key)
+        word, by, band_bits = bands[band]
+        nodes = table.column("node").to_numpy()
+        full = table.column("fp").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+        full = np.ascontiguousarray(full, "<i8").view("<u8")
+        lead = _rotate(full[:, word], by)
         prefix, part = table.column("prefix").to_numpy(), table.column("part").to_numpy()
-        rotated = _rotate(raw, by)
-        first, second = key[3].as_py(), key[4].as_py()
-        left = np.unique(rotated[(prefix == low) & (part == first)])
-        if low == high and first == second:
-            walker = TrieWalk(left, band_bits, budget)
-            walker.join((0, len(left)), (0, len(left)), prefix_bits, 0)
-        else:
-            right = np.unique(rotated[(prefix == high) & (part == second)])
-            walker = TrieWalk(np.concatenate((left, right)), band_bits, budget)
-            sides = (0, len(left)), (len(left), len(left) + len(right))
-            walker.join(*sides, prefix_bits, int(low != high))
-        linked = np.flatnonzero(walker.root != np.arange(len(walker.root)))
-        back = _rotate(walker.values, BITS - by if by else 0).view("<i8")
-        return pa.table({"a": back[linked], "b": back[walker.root[linked]]})
+        left = np.flatnonzero((prefix == low) & (part == first))
+        order = left = left[np.argsort(lead[left])]
+        one_side = low == high and first == second
+        if not one_side:
+            right = np.flatnonzero((prefix == high) & (part == second))
+            order = np.concatenate((left, right[np.argsort(lead[right])]))
+        walker = TrieWalk(lead[order], full[order], band_bits, budget)
+        a = (0, len(left))
+        walker.join(a, a if one_side else (len(left), len(order)), prefix_bits, int(low != high))
+        linked = np.flatnonzero(walker.root != np.arange(len(order)))
+        return pa.table({"a": nodes[order[linked]], "b": nodes[order[walker.root[linked]]]})
 
     return walk
 
 
 def link_fingerprints(
-    distinct: DataFrame, *, budget: int = BUDGET, cell: int = CELL, cell_most: int = CELL_MOST
+    distinct: DataFrame,
+    *,
+    bands: tuple = BANDS,
+    budget: int = BUDGET,
+    cell: int = CELL,
+    cell_most: int = CELL_MOST,
 ) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints ``fp`` within ``budget`` bits.
+    """Edges (a, b) between nodes that connect all linked fingerprints.
 
-    The edges have the same connected components as the full set of links.
+    ``distinct`` holds each fingerprint ``fp`` once, with a long ``node`` for it. The
+    edges have the same connected components as the full set of links.
     """
     total = distinct.count()
-    bands = _bands(budget)
-    bits = min(max(0, int(np.ceil(np.log2(max(total, 1) / cell)))), min(b for _, b in bands))
-    rotated = [
+    bits = min(max(0, int(np.ceil(np.log2(max(total, 1) / cell)))), min(b for _, _, b in bands))
+    leads = [
         F.struct(
             F.lit(k).alias("band"),
-            F.expr(f"shiftleft(fp, {by}) | shiftrightunsigned(fp, {BITS - by})" if by else "fp").alias("r"),
+            F.expr(
+                f"shiftleft(fp[{word}], {by}) | shiftrightunsigned(fp[{word}], {BITS - by})" if by else f"fp[{word}]"
+            ).alias("lead"),
         )
-        for k, (by, _) in enumerate(bands)
+        for k, (word, by, _) in enumerate(bands)
     ]
-    prefix = F.shiftrightunsigned("r", BITS - bits) if bits else F.lit(0).cast("bigint")
-    homes = distinct.select("fp", F.inline(F.array(*rotated))).select("fp", "band", prefix.alias("prefix"))
+    prefix = F.shiftrightunsigned("lead", BITS - bits) if bits else F.lit(0).cast("bigint")
+    homes = distinct.select("node", "fp", F.inline(F.array(*leads)))
+    homes = homes.select("node", "fp", "band", prefix.alias("prefix"))
     parts = (
         homes.groupBy("band", "prefix").count().filter(F.col("count") > cell_most)
         .select("band", "prefix", F.ceil(F.col("count") / cell_most).cast("int").alias("parts"))
@@ -219,7 +264,7 @@ def link_fingerprints(
         "left",
     )
     own, other = F.coalesce("parts", F.lit(1)), F.coalesce("other_parts", F.lit(1))
-    met = met.withColumn("part", F.pmod(F.xxhash64("fp"), own).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), own).cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), other - 1)))
     below = F.col("prefix") < F.col("other")
     low, high = F.least("prefix", "other"), F.greatest("prefix", "other")
@@ -227,7 +272,7 @@ def link_fingerprints(
     first = F.when(same, F.least("part", "with")).otherwise(F.when(below, F.col("part")).otherwise(F.col("with")))
     second = F.when(same, F.greatest("part", "with")).otherwise(F.when(below, F.col("with")).otherwise(F.col("part")))
     cells = met.select(
-        "band", low.alias("low"), high.alias("high"), first.alias("i"), second.alias("j"), "fp", "prefix", "part"
+        "band", low.alias("low"), high.alias("high"), first.alias("i"), second.alias("j"), "node", "fp", "prefix", "part"
     )
     return cells.groupBy("band", "low", "high", "i", "j").applyInArrow(
         _walk_cells(bands, bits, budget), "a bigint, b bigint"
@@ -240,27 +285,33 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
     size: int = SHINGLE,
-    budget: int = BUDGET,
-    **cells: int,
+    words: int = 1,
+    **links,
 ) -> DataFrame:
     """(doc_id, fp, component_id, copies) per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links; ``copies`` is the number
-    of rows with the same fingerprint.
+    of rows with the same fingerprint. ``links`` are options of ``link_fingerprints``.
     """
-    marked = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), size).alias("fp")), "fp")
-    groups = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    edges = link_fingerprints(groups.select("fp"), budget=budget, **cells)
+    mark = fingerprint(F.col(text), size, words)
+    marked = docs.select(F.col(doc_id).alias("doc_id"), mark.alias("fp"))
+    # a node is the fingerprint itself, or a 64-bit hash of a longer one
+    marked = written(marked.withColumn("node", F.col("fp")[0] if words == 1 else F.xxhash64("fp")), "fingerprints")
+    groups = marked.groupBy("node").agg(
+        F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
+    )
+    groups = written(groups, "fingerprints")
+    edges = link_fingerprints(groups.select("node", "fp"), **links)
     classes = components(edges)
-    named = groups.join(classes.withColumnRenamed("node", "fp"), "fp", "left")
+    named = groups.drop("fp").join(classes, "node", "left")
     linked = named.filter(F.col("root").isNotNull())
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root", "left").select(
-        "fp",
+        "node",
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
         "copies",
     )
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "copies")
+    return marked.join(named, "node").select("doc_id", "fp", "component_id", "copies")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -59,8 +59,9 @@ def test_links_of_random_and_dense_fingerprints(spark, cell, most):
     centre = rng.getrandbits(64)
     for _ in range(200):
         values.add(centre ^ sum(1 << b for b in set(rng.choices(range(64), k=5))))
-    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    edges = simhash.link_fingerprints(spark.createDataFrame(signed, "fp long"), cell=cell, cell_most=most)
+    signed = [(v - (1 << 64) if v >> 63 else v) for v in values]
+    table = spark.createDataFrame([(v, [v]) for v in signed], "node long, fp array<long>")
+    edges = simhash.link_fingerprints(table, cell=cell, cell_most=most)
     got = {}
     for r in graph.components(edges).collect():
         got[r.node % (1 << 64)] = r.root % (1 << 64)
@@ -76,7 +77,7 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn(
         "component_id", F.lit(1)
     )
-    got = simhash.near_duplicates(docs).select("doc_id", simhash.as_hex(F.col("fp")).alias("f"), "component_id")
+    got = simhash.near_duplicates(docs).select("doc_id", simhash.as_hex(F.col("fp")[0]).alias("f"), "component_id")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_classes(rows)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -99,3 +100,54 @@ def test_long_chain_and_star_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("cell,most", [(32_768, 65_536), (40, 30)])
+def test_links_of_long_fingerprints(spark, cell, most):
+    rng = random.Random(7)
+    values = []
+    for _ in range(60):
+        v = rng.getrandbits(256)
+        values += [v] + [v ^ sum(1 << b for b in rng.sample(range(256), rng.randint(5, 60))) for _ in range(3)]
+    centre = rng.getrandbits(192)
+    values += [(rng.getrandbits(64) << 192) | centre ^ (1 << rng.randrange(192)) for _ in range(60)]  # one lead word
+    words = lambda v: [(w - (1 << 64) if w >> 63 else w) for w in (v >> 64 * k & (1 << 64) - 1 for k in range(4))]
+    table = spark.createDataFrame([(i, words(v)) for i, v in enumerate(values)], "node long, fp array<long>")
+    edges = simhash.link_fingerprints(
+        table, bands=simhash.LONG_BANDS, budget=simhash.LONG_BUDGET, cell=cell, cell_most=most
+    )
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    root = list(range(len(values)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    def banded(x):
+        return any(bin(x >> 64 * w >> 64 - by - n & (1 << n) - 1).count("1") <= 1 for w, by, n in simhash.LONG_BANDS)
+
+    for i, v in enumerate(values):
+        for j in range(i):
+            x = v ^ values[j]
+            if bin(x).count("1") <= simhash.LONG_BUDGET and banded(x):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {i: got.get(i, i) for i in range(len(values))} == {i: find(i) for i in range(len(values))}
+
+
+def test_long_fingerprints_find_similar_texts(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, pairs = [], []
+    for i in range(0, 400, 2):
+        words = [word() for _ in range(200)]
+        rows.append((i, " ".join(words)))
+        for k in rng.sample(range(200), 2):  # ten of 196 shingles change: similarity 0.9
+            words[k] = word()
+        rows.append((i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(
+        docs, size=simhash.LONG_SHINGLE, words=simhash.LONG_WORDS, bands=simhash.LONG_BANDS, budget=simhash.LONG_BUDGET
+    )
+    classes = {r.doc_id: r.component_id for r in got.collect()}
+    assert sum(classes[i + 1] == i for i in range(0, 400, 2)) >= 196
+    assert all(c in (i, i - i % 2) for i, c in classes.items())
