@@ -1,2 +1,90 @@
-run = None
+"""The corpus pipeline: toxicity, line dedup, near-duplicates, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a table. All but the last return the
+columns of ``documents``; ``run`` writes each stage's result as Parquet to the shared
+folder and hands it to the next. Rows without text, or empty, are clean and stay.
+
+* toxicity: rows scored 0.7 or more go. Labels come from ``labels``.
+* line dedup: lines in later occurrences of repeated three-line windows are cut out; a
+  row left without any word is a copy and goes.
+* near-duplicates: 256-bit SimHash over five-word shingles, linked at a similarity of
+  about 0.8; one row of each class stays, the one with the smallest id.
+* decontamination: passages of ``benchmark`` items are cut out, rows with more than
+  half of their words hit go.
+* mixing: every row gets its slot in the Pfair schedule over sources; rows are written
+  in that order, with slot, block, release, deadline and place.
+
+``n_chars`` follows the text wherever a stage shortens it. ``ORACLE_SQL`` is None: the
+scores of a fitted model cannot be had in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridload.llm import decontaminate, lines, mixing, simhash, toxicity
+from gridload.session import configure, discard, written
+
 ORACLE_SQL = None
+
+
+def _resized(docs: DataFrame, before: str) -> DataFrame:
+    """Set ``n_chars`` of rows whose text changed and drop the old text."""
+    changed = ~F.col("text").eqNullSafe(F.col(before))
+    size = F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return docs.withColumn("n_chars", size).drop(before)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, into="_toxicity")
+    return scored.filter(F.col("_toxicity.score") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = lines.remove_repeated_lines(docs.withColumn("_before", F.col("text")))
+    emptied = (F.col("lines_removed") > 0) & ~F.col("text").rlike(r"\S")
+    return _resized(cut.filter(~F.coalesce(emptied, F.lit(False))), "_before").select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(
+        docs,
+        size=simhash.LONG_SHINGLE,
+        words=simhash.LONG_WORDS,
+        bands=simhash.LONG_BANDS,
+        budget=simhash.LONG_BUDGET,
+    )
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    cut = decontaminate.remove_leaks(docs.withColumn("_before", F.col("text")), bench)
+    return _resized(cut, "_before").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", dedup_documents),
+    ("benchmark_decontamination", decontaminate_documents),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again."""
+    configure(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    previous = None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+        if previous is not None:
+            discard(previous)
+        previous = docs
+    return docs
