@@ -13,9 +13,10 @@ Scoring is one pass without a shuffle. The chains of a batch are one long sequen
 which document starts cut the dependence; it is folded into columns that step together
 (products of 2 x 2 tables), so long texts cost no more per word than short ones.
 
-The fit uses a bounded sample: of each label the ``per_class`` rows with the smallest
-hash of the id, among texts of 1 to ``sample_chars`` characters, from rows that may be
-learned from. Label frequencies are counted over all such rows.
+The fit uses a bounded sample: the ``per_class`` toxic rows (twice as many of the others)
+with the smallest hash of the id, among texts of 1 to ``sample_chars`` characters, from
+rows that may be learned from; near copies count once. Label frequencies are counted over all
+such rows.
 
 Defined results: null and wordless texts get the score of no evidence; without rows of
 both labels every score is the share of toxic labels (0 if there are none); ids labelled
@@ -25,21 +26,27 @@ rows give no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridload.llm.common import for_learning, per_text
 
 PER_CLASS = 2_000
+CLEAN_PER_TOXIC = 2
 SAMPLE_CHARS = 20_000
 MIN_DOCUMENTS = 4
-MARK_ODDS, FEATURE_ODDS = 3.0, 1.0
+#: least log odds, two standard errors below the estimate, of marks and of features
+MARK_ODDS, FEATURE_ODDS = 1.5, 0.5
+COPY_HASHES = 4
 ROUNDS = 25
 THRESHOLD = 0.7
 SPAN_THRESHOLD = 0.5
@@ -135,59 +142,70 @@ def _summaries(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _doc_features(words: set[str], wanted: dict | None) -> set[str]:
+    return {f for w in words for f in features(w) if wanted is None or f in wanted}
+
+
+def _sure_odds(k1: int, n1: int, k0: int, n0: int) -> float:
+    """Log odds of a feature in toxic documents, less two standard errors."""
+    odds = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
+    return odds - 2 * math.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5))
+
+
 def fit(texts: list[str], toxic: list[int], frequency: tuple[int, int], rounds: int = ROUNDS) -> Field:
     """Fit on labelled documents; ``frequency`` counts all rows without and with the label."""
     share = frequency[1] / max(1, sum(frequency))
-    if not any(toxic) or all(toxic):
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    if not n1 or not n0:
         return Field(share=share)
-    words = [_WORD.findall(t.lower()) for t in texts]
-    y = np.array(toxic)
-    seen = (Counter(), Counter())
-    for ws, label in zip(words, toxic, strict=True):
-        seen[label].update({f for w in set(ws) for f in features(w)})
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    odds = {
-        f: math.log((k + 0.5) / (n1 + 1)) - math.log((seen[0][f] + 0.5) / (n0 + 1))
-        for f, k in seen[1].items()
-        if k >= MIN_DOCUMENTS
-    }
-    names = {f: i for i, f in enumerate(sorted(f for f, o in odds.items() if o >= FEATURE_ODDS))}
-    of_word: dict[str, tuple[list[int], bool]] = {}
-    ids, owners, labels, starts = [], [], [], []
-    at = 0
-    for ws, label in zip(words, toxic, strict=True):
-        for k, w in enumerate(ws):
-            if w not in of_word:
-                fs = features(w)
-                of_word[w] = ([names[f] for f in fs if f in names], max((odds.get(f, -9) for f in fs)) >= MARK_ODDS)
-            own, marked = of_word[w]
-            ids += own
-            owners += [at] * len(own)
-            labels.append(label and marked)
-            starts.append(k == 0)
-            at += 1
-    if not at:
-        return Field(share=share)
-    ids, owners = np.array(ids, np.int64), np.array(owners, np.int64)
-    truth, starts = np.array(labels, np.float64), np.array(starts)
-    weights, bias = np.zeros(len(names)), -4.0
+    vocabulary: dict[str, int] = {}
+    docs = [
+        np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())], np.int32) for t in texts
+    ]
+    names = list(vocabulary)
+    bad, good = Counter(), Counter()
+    for d, label in zip(docs, toxic, strict=True):
+        if label:
+            bad.update(_doc_features({names[i] for i in d.tolist()}, None))
+    bad = Counter({f: k for f, k in bad.items() if k >= MIN_DOCUMENTS})
+    for d, label in zip(docs, toxic, strict=True):
+        if not label:
+            good.update(_doc_features({names[i] for i in d.tolist()}, bad))
+    odds = {f: _sure_odds(k, n1, good[f], n0) for f, k in bad.items()}
+    number = {f: i for i, f in enumerate(sorted(f for f, o in odds.items() if o >= FEATURE_ODDS))}
+    of_word = [[number[f] for f in features(w) if f in number] for w in names]
+    marked = np.array([max(odds.get(f, -9.0) for f in features(w)) >= MARK_ODDS for w in names] + [False])
+    ends = np.cumsum([0, *map(len, of_word)])
+    flat = np.array([i for own in of_word for i in own], np.int64)
+    batches = _training_batches(docs, toxic, marked)
+    weights, bias = np.zeros(len(number)), -4.0
     begin, moves = np.zeros(2), np.zeros((2, 2))
-    inner = np.flatnonzero(~starts)
-    now, before = truth[inner].astype(int), truth[inner - 1].astype(int)
-    seen_moves = np.bincount(2 * before + now, minlength=4).reshape(2, 2)
-    seen_start = np.bincount(truth[starts].astype(int), minlength=2)
     memory = [np.zeros_like(x) for x in (weights, np.zeros(1), begin, moves)]
+    words = len(names)
+
+    def potentials() -> np.ndarray:
+        of = np.repeat(np.arange(words), np.diff(ends))
+        return np.bincount(of, weights[flat], minlength=words) + bias
+
     for _ in range(rounds):
-        emit = np.bincount(owners, weights[ids], minlength=at) + bias
-        p, tables, ahead, behind = marginals(emit, starts, begin, moves)
-        pair = ahead[inner - 1][:, :, None] * tables[inner] * behind[inner][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        error = truth - p
+        emit = potentials()
+        error = np.zeros(words)
+        to_begin, to_moves = np.zeros(2), np.zeros((2, 2))
+        for tokens, truth, starts in batches:
+            p, tables, ahead, behind = marginals(emit[tokens], starts, begin, moves)
+            error += np.bincount(tokens, truth - p, minlength=words)
+            inner = np.flatnonzero(~starts)
+            pair = ahead[inner - 1][:, :, None] * tables[inner] * behind[inner][:, None, :]
+            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            seen = np.bincount(2 * truth[inner - 1] + truth[inner], minlength=4).reshape(2, 2)
+            to_moves += seen - pair.sum(axis=0)
+            first = truth[starts] - p[starts]
+            to_begin += np.array([-first.sum(), first.sum()])
         gradients = (
-            np.bincount(ids, error[owners], minlength=len(names)) - 0.01 * weights,
+            np.bincount(flat, np.repeat(error, np.diff(ends)), minlength=len(number)) - 0.01 * weights,
             np.array([error.sum()]),
-            seen_start - np.array([(1 - p[starts]).sum(), p[starts].sum()]),
-            seen_moves - pair.sum(axis=0),
+            to_begin,
+            to_moves,
         )
         steps = []
         for g, m in zip(gradients, memory, strict=True):  # adaptive step sizes
@@ -197,13 +215,36 @@ def fit(texts: list[str], toxic: list[int], frequency: tuple[int, int], rounds:
         bias += float(steps[1][0])
         begin += 0.5 * steps[2]
         moves += 0.5 * steps[3]
-    emit = np.bincount(owners, weights[ids], minlength=at) + bias
-    p = marginals(emit, starts, begin, moves)[0]
-    summary = _summaries(p, np.array([len(ws) for ws in words]))
+    emit = potentials()
+    p = [marginals(emit[tokens], starts, begin, moves)[0] for tokens, _, starts in batches]
+    summary = _summaries(np.concatenate([*p, np.zeros(0)]), np.array(list(map(len, docs))))
+    y = np.array(toxic)
     cost = np.where(y == 1, frequency[1] / n1, frequency[0] / n0)
     document = _logistic(summary, y, cost / cost.mean())
-    kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}
-    return Field(kept, bias, tuple(begin), tuple(map(tuple, moves)), document, share)
+    kept = {f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-3}
+    table = tuple(tuple(map(float, row)) for row in moves)
+    return Field(kept, bias, tuple(map(float, begin)), table, tuple(map(float, document)), share)
+
+
+def _training_batches(docs: list[np.ndarray], toxic: list[int], marked: np.ndarray) -> list[tuple]:
+    """(words, token labels, document starts) of runs of whole documents."""
+    runs: list[list[int]] = [[]]
+    size = 0
+    for k, d in enumerate(docs):
+        if size + len(d) > BATCH_WORDS // 2 and runs[-1]:
+            runs.append([])
+            size = 0
+        runs[-1].append(k)
+        size += len(d)
+    out = []
+    for run in runs:
+        tokens = np.concatenate([docs[k] for k in run])
+        labels = np.repeat([toxic[k] for k in run], [len(docs[k]) for k in run])
+        starts = np.zeros(len(tokens) + 1, bool)
+        starts[np.cumsum([0] + [len(docs[k]) for k in run])[:-1]] = True
+        if len(tokens):
+            out.append((tokens, (labels * marked[tokens]).astype(np.int64), starts[:-1]))
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float, float]:
@@ -297,7 +338,7 @@ def learn(
     per_class: int = PER_CLASS,
     sample_chars: int = SAMPLE_CHARS,
 ) -> Field:
-    """Fit a field; to the driver come at most ``2 * per_class`` texts of bounded length."""
+    """Fit a field, in one task on a bounded number of texts of bounded length."""
     marks = labels.filter(for_learning(F.col(doc_id)) & F.col(toxic).isin(0, 1))
     marks = marks.groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
     frequency = Counter({r._toxic: r.n for r in marks.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
@@ -306,14 +347,41 @@ def learn(
     by_hash = [F.xxhash64("_id"), F.col("_id")]
     chosen = None
     for label in (0, 1):
-        some = sized.filter(F.col("_toxic") == label).orderBy(*by_hash).limit(per_class)
+        size = per_class if label else per_class * CLEAN_PER_TOXIC
+        some = sized.filter(F.col("_toxic") == label).orderBy(*by_hash).limit(size)
         chosen = some if chosen is None else chosen.union(some)
     texts = rows.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = {}
-    for r in texts.join(F.broadcast(chosen), "_id").toLocalIterator():  # 2 * per_class ids
-        found[r._id] = max(found.get(r._id, ("", 0)), (r._text, r._toxic))
-    order = sorted(found)
-    return fit([found[i][0] for i in order], [found[i][1] for i in order], (frequency[0], frequency[1]))
+    sample = texts.join(F.broadcast(chosen), "_id").withColumn("_one", F.lit(1))  # a bounded number of ids
+    fitted = sample.groupBy("_one").applyInArrow(_fit_sample((frequency[0], frequency[1])), "model string").first()
+    return Field(**json.loads(fitted.model)) if fitted else fit([], [], (frequency[0], frequency[1]))
+
+
+def _without_copies(texts: list[str]) -> list[str]:
+    """One text of each group of near copies: none shares a least shingle hash with one before."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        words = _WORD.findall(text.lower())
+        shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+        least = sorted(xxhash.xxh64_intdigest(x) for x in shingles)[:COPY_HASHES]
+        if seen.isdisjoint(least):
+            out.append(text)
+        seen.update(least)
+    return out
+
+
+def _fit_sample(frequency: tuple[int, int]):
+    """Fit in one task: the sample's size is bounded by ``learn``'s parameters."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found: dict = {}
+        for t, y in zip(*(table.column(c).to_pylist() for c in ("_text", "_toxic")), strict=True):
+            found[t] = max(found.get(t, 0), y)
+        order = _without_copies(sorted(found, key=lambda t: (-found[t], t)))
+        model = fit(order, [found[t] for t in order], frequency)
+        return pa.table({"model": pa.array([json.dumps(asdict(model))])})
+
+    return run
 
 
 def score(docs: DataFrame, model: Field, *, text: str = "text", into: str = "toxicity") -> DataFrame:
