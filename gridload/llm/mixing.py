@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 PARTS = 1000
 BLOCK_ROWS = 8
 POWER = 0.5
-CELL_ROWS = 100_000
+#: a cell aims at this many rows, or at the root of all rows if that is more
+CELL_ROWS = 1_000
 #: a cycle of at most this many slots is broadcast, a longer one is joined by a shuffle
 BROADCAST_SLOTS = 100_000
 
@@ -69,7 +71,7 @@ def counted(docs: DataFrame, source: str = "source") -> dict[str, int]:
 
 def _cell_digits(rows: int, cell_rows: int) -> int:
     digits = 0
-    while rows > cell_rows * 16**digits:
+    while rows > max(cell_rows, math.isqrt(rows)) * 16**digits:
         digits += 1
     return digits
 
