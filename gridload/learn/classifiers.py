@@ -9,8 +9,10 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -216,11 +218,15 @@ class FittedClassifier:
         return self.score_rows(df).withColumn(PREDICTED, predict_at(threshold))
 
     def decision_function(self, df: DataFrame) -> DataFrame:
-        """Adds ``decision``: the model's own margin for logistic regression, else
-        the probability margin."""
+        """Adds ``decision``: the fitted stage's own margin (log odds) for logistic
+        regression and boosted trees, else the probability margin."""
         scored = self.model.transform(df)
-        if self._info["model_type"] == "logistic":
+        last = self.model.stages[-1]
+        if isinstance(last, LogisticRegressionModel):
             margin = vector_to_array("rawPrediction")[1]
+        elif isinstance(last, GBTClassificationModel):
+            # the raw prediction of boosted trees is half the log odds
+            margin = vector_to_array("rawPrediction")[1] * 2
         else:
             p = vector_to_array("probability")
             margin = p[1] - p[0]

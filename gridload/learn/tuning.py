@@ -156,17 +156,24 @@ class Search:
         self.parallel, self.fixed = parallel, fixed or {}
         self.results: list[dict[str, object]] = []
 
-    def _run(
-        self, number: int, settings: dict[str, object], train: DataFrame, val: DataFrame,
-        features: Sequence[str], label: str,
-    ) -> dict[str, object]:
+    def learner(self, settings: dict[str, object]) -> CostSensitiveClassifier:
+        """The learner that a trial with these settings trains."""
         used = dict(settings)
         if self.kind == "random_forest":
             used.setdefault("positive_weight", "balanced")
-        learner = CostSensitiveClassifier(
+        return CostSensitiveClassifier(
             self.kind, seed=self.seed, settings=used, weighting="positive_weight" in used
         )
-        scored = learner.fit(train, features, label).score_rows(val)
+
+    def best_model(self) -> CostSensitiveClassifier:
+        """An unfitted learner with the settings and the weighting of the best trial."""
+        return self.learner(self.best()["settings"])
+
+    def _run(
+        self, number: int, settings: dict[str, object], train: DataFrame, val: DataFrame,
+        features: Sequence[str], label: str,
+    ) -> dict[str, object]:
+        scored = self.learner(settings).fit(train, features, label).score_rows(val)
         score = search_score(scored, self.metric, label)
         return {"trial": number, "score": float(score), "settings": settings}
 

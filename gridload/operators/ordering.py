@@ -228,16 +228,12 @@ def with_series_windows(
     stages = list(stages) if isinstance(stages, list | tuple) else [stages]
     if layout.chunk_rows is None:
         return _evaluate(df, SeriesWindows(layout.keys, layout.time), stages)
-    if halo > layout.chunk_rows:
-        raise ValueError(f"halo of {halo} rows exceeds chunk_rows={layout.chunk_rows}")
     size = layout.chunk_rows
     numbered = _POSITION in df.columns
     cut = df if numbered else number_rows(df, layout)
     home = F.floor(F.col(_POSITION) / size)
-    lent = F.col(_POSITION) % size >= size - halo
-    cut = cut.withColumn(_HOME, home).withColumn(
-        _CHUNK, F.explode(F.when(lent, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
+    last = F.floor((F.col(_POSITION) + halo) / size)  # a look-back may span several chunks
+    cut = cut.withColumn(_HOME, home).withColumn(_CHUNK, F.explode(F.sequence(home, last)))
     spec = SeriesWindows((*layout.keys, _CHUNK), _POSITION)
     cut = _evaluate(cut, spec, stages)
     extra = [_CHUNK, _HOME] + ([] if numbered else [_POSITION])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,66 +58,79 @@ def _missing(value: Column) -> Column:
     return F.count_if(value.isNull() | F.isnan(value))
 
 
-def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return melt(df, [], columns)
+def per_column(
+    df: DataFrame, columns: Sequence[str], stats: dict[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """One row per column with the given statistics of its values as doubles.
+
+    All of them come from a single wide aggregate; only its one row is unpivoted.
+    """
+    named = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        parts = [fn(value).alias(name) for name, fn in stats.items()]
+        named.append(F.struct(F.lit(c).alias(COLUMN), *parts).alias(f"_{i}"))
+    wide = df.agg(*named)
+    return wide.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
 
 
 def demand_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Cells, missing cells and share, range, negative cells over region columns."""
-    v = F.col(VALUE)
-    return (
-        cells(df, columns)
-        .agg(
-            F.count(F.lit(1)).alias("cells"),
-            _missing(v).alias("missing"),
-            F.min(v).alias("min_value"),
-            F.max(v).alias("max_value"),
-            F.count_if(v < 0).alias("negative"),
-        )
-        .withColumn("missing_pct", F.try_divide(F.col("missing"), F.col("cells")) * 100)
+    each = per_column(
+        df,
+        columns,
+        {
+            "cells": lambda v: F.count(F.lit(1)),
+            "missing": _missing,
+            "low": F.min,
+            "high": F.max,
+            "negative": lambda v: F.count_if(v < 0),
+        },
     )
+    return each.agg(
+        F.sum("cells").alias("cells"),
+        F.sum("missing").alias("missing"),
+        F.min("low").alias("min_value"),
+        F.max("high").alias("max_value"),
+        F.sum("negative").alias("negative"),
+    ).withColumn("missing_pct", F.try_divide(F.col("missing"), F.col("cells")) * 100)
 
 
 def missing_by_column(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
     """Columns with most missing cells; equal counts in name order."""
     return (
-        cells(df, columns)
-        .groupBy(F.col(COLUMN).alias("series"))
-        .agg(_missing(F.col(VALUE)).alias("missing"))
+        per_column(df, columns, {"missing": _missing})
+        .withColumnRenamed(COLUMN, "series")
         .orderBy(F.desc("missing"), "series")
         .limit(top)
     )
 
 
+def _quantiles_of(df: DataFrame, columns: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    cells = melt(df, [], columns).withColumnRenamed(COLUMN, "name")
+    found = quantile_columns(cells, ["name"], {k: (VALUE, p) for k, p in wanted.items()})
+    return found.withColumnRenamed("name", COLUMN)
+
+
 def cop_profile(
     df: DataFrame, columns: Sequence[str], low: float = 1.0, high: float = 6.0
 ) -> DataFrame:
     """Missing cells, range, implausible cells; mean of means, median of medians,
     mean of standard deviations over the region columns."""
-    v = F.col(VALUE)
-    per_column = (
-        cells(df, columns)
-        .groupBy(COLUMN)
-        .agg(
-            _missing(v).alias("missing"),
-            F.min(v).alias("low"),
-            F.max(v).alias("high"),
-            F.count_if((v < low) | (v > high)).alias("unrealistic"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
-        )
-        .join(
-            quantile_columns(
-                melt(df, [], columns).withColumnRenamed(COLUMN, "name"),
-                ["name"],
-                {"median": (VALUE, 0.5)},
-            ).withColumnRenamed("name", COLUMN),
-            COLUMN,
-            "left",
-        )
-    )
+    each = per_column(
+        df,
+        columns,
+        {
+            "missing": _missing,
+            "low": F.min,
+            "high": F.max,
+            "unrealistic": lambda v: F.count_if((v < low) | (v > high)),
+            "mean": F.avg,
+            "std": F.stddev_samp,
+        },
+    ).join(_quantiles_of(df, columns, {"median": 0.5}), COLUMN, "left")
     # one row per column from here on, so the built-in exact quantile is bounded
-    return per_column.agg(
+    return each.agg(
         F.sum("missing").alias("missing"),
         F.min("low").alias("min_value"),
         F.max("high").alias("max_value"),
@@ -131,25 +144,14 @@ def cop_profile(
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, exact quartiles and max of each numeric column."""
     columns = list(columns) if columns else numeric_columns(df)
-    v = F.col(VALUE)
-    stats = (
-        melt(df, [], columns)
-        .withColumn(VALUE, F.when(~F.isnan(v), v))
-        .groupBy(COLUMN)
-        .agg(
-            F.count(v).alias("count"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"),
-            F.max(v).alias("max"),
-        )
-    )
-    quartiles = quantile_columns(
-        melt(df, [], columns).withColumnRenamed(COLUMN, "name"),
-        ["name"],
-        {"q25": (VALUE, 0.25), "q50": (VALUE, 0.5), "q75": (VALUE, 0.75)},
-    ).withColumnRenamed("name", COLUMN)
-    return stats.join(quartiles, COLUMN, "left").select(
+
+    def known(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda v: fn(F.when(~F.isnan(v), v))
+
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    each = per_column(df, columns, {name: known(fn) for name, fn in stats.items()})
+    quartiles = _quantiles_of(df, columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return each.join(quartiles, COLUMN, "left").select(
         COLUMN, "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 

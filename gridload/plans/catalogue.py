@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridload.plans import (  # noqa: F401  (imported for their registrations)
     file_queries,
+    learning_checks,
     learning_queries,
     preparation_queries,
     quality_queries,

@@ -15,12 +15,23 @@ from gridload.sources import sinks, tables
 
 KINDS = list(EVENT_KINDS)
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+CODES = {"AFRICA": "AT", "AMERICA": "BE", "ASIA": "DE", "EUROPE": "FR", "MIDDLE EAST": "IT"}
+
+
+def flat_table(spark, sf_dir):
+    """One column per region code, all days."""
+    pivoted = daily(spark, sf_dir).groupBy("ts").pivot("series", list(CODES))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime")
+    return pivoted.agg(F.max("heat_demand_total")).select(
+        stamp, *[F.col(s).alias(code) for s, code in CODES.items()]
+    )
 
 
 @query(
     "wide_csv",
     with_views("wide")
     + """SELECT ts, click AS DE_heat_demand_total, error AS FR_heat_demand_total,
+  purchase AS SE_heat_demand_total, signup AS IT_heat_demand_total,
   "view" AS DE_COP_ASHP_floor FROM wide""",
 )
 def wide_csv(spark, sf_dir):
@@ -29,6 +40,8 @@ def wide_csv(spark, sf_dir):
     texts = {
         "DE_heat_demand_total": "click",
         "FR_heat_demand_total": "error",
+        "SE_heat_demand_total": "purchase",
+        "IT_heat_demand_total": "signup",
         "DE_COP_ASHP_floor": "view",
     }
     wide(spark, sf_dir).select(
@@ -47,46 +60,29 @@ def wide_csv(spark, sf_dir):
 @query(
     "flat_csv",
     with_views("daily")
-    + """SELECT ts, max(CASE WHEN series = 'ASIA' THEN heat_demand_total END) AS "AT",
-  max(CASE WHEN series = 'EUROPE' THEN heat_demand_total END) AS "DE"
-FROM daily WHERE year(ts) IN (1996, 1997) GROUP BY ts""",
+    + "SELECT ts, "
+    + ", ".join(
+        f"""max(CASE WHEN series = '{s}' THEN heat_demand_total END) AS "{code}" """
+        for s, code in CODES.items()
+    )
+    + "FROM daily GROUP BY ts",
 )
 def flat_csv(spark, sf_dir):
     path = new_path(spark, "flat")
-    pivoted = (
-        daily(spark, sf_dir)
-        .groupBy("ts")
-        .pivot("series", ["ASIA", "EUROPE", "AFRICA"])
-        .agg(F.max("heat_demand_total"))
-    )
-    pivoted.select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"),
-        F.col("ASIA").alias("AT"),
-        F.col("EUROPE").alias("DE"),
-        F.col("AFRICA").alias("FR"),
-    ).write.csv(path, header=True)
-    return tables.read_flat(spark, path, ["AT", "DE", "ZZ"], [1996, 1997])
+    flat_table(spark, sf_dir).write.csv(path, header=True)
+    return tables.read_flat(spark, path, [*CODES.values(), "ZZ"], list(range(1990, 2010)))
 
 
 @query(
     "region_from_csv",
     with_views("daily")
     + """SELECT ts, round(sum(heat_demand_total), 2) AS heat_demand_total FROM daily
-WHERE series IN ('ASIA', 'EUROPE') AND year(ts) = 1996 GROUP BY ts""",
+GROUP BY ts""",
 )
 def region_from_csv(spark, sf_dir):
     path = new_path(spark, "regions")
-    (
-        daily(spark, sf_dir)
-        .filter(F.col("series").isin("ASIA", "EUROPE"))
-        .groupBy(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("datetime"))
-        .agg(
-            F.max(F.when(F.col("series") == "ASIA", F.col("heat_demand_total"))).alias("AT"),
-            F.max(F.when(F.col("series") == "EUROPE", F.col("heat_demand_total"))).alias("DE"),
-        )
-        .write.csv(path, header=True)
-    )
-    total = tables.load_region(spark, path, "pan_european", [1996])
+    flat_table(spark, sf_dir).write.csv(path, header=True)
+    total = tables.load_region(spark, path, "pan_european", list(range(1990, 2010)))
     return rounded(total.select("ts", "heat_demand_total"), 2)
 
 
@@ -202,5 +198,12 @@ def report_csv(spark, sf_dir):
 
 @query("report_manifest")
 def report_manifest(spark, sf_dir):
+    """Every file the manifest names, with the rows read back from it."""
     folder, _ = reports(spark, sf_dir)
-    return spark.read.csv(f"{folder}/table_summary.csv", header=True)
+    manifest = spark.read.csv(f"{folder}/table_summary.csv", header=True)
+    found = (
+        spark.read.text(folder, pathGlobFilter="part-*", recursiveFileLookup=True)
+        .groupBy(F.regexp_extract(F.input_file_name(), r"/([^/]+[.]csv)/", 1).alias("_file"))
+        .agg((F.count(F.lit(1)) - F.count_distinct(F.input_file_name())).alias("rows"))
+    )
+    return manifest.join(found, F.col("File") == F.col("_file"), "left").drop("_file")

@@ -154,7 +154,7 @@ def outlier_scores(spark, sf_dir):
 
 @query("preprocess")
 def preprocess(spark, sf_dir):
-    steps = features.Preprocessor(window=24, layout=SMALL_CHUNKS)
+    steps = features.Preprocessor(layout=SMALL_CHUNKS)
     return steps.fit_transform(gaps(spark, sf_dir))[0]
 
 
@@ -169,14 +169,15 @@ FRAME = "(PARTITION BY series ORDER BY ts ROWS 23 PRECEDING)"
   CASE WHEN count(*) OVER w = 24 THEN max(heat_demand_total) OVER w END AS demand_rolling_max_24h,
   CASE WHEN count(*) OVER w = 24 THEN min(cop_average) OVER w END AS cop_rolling_min_24h,
   lag(heat_demand_total, 24) OVER s AS demand_lag_24h,
-  coalesce(heat_demand_total >= CASE WHEN count(*) OVER w = 24
-      THEN quantile_cont(heat_demand_total, 0.9) OVER w END
-    AND cop_average <= CASE WHEN count(*) OVER w = 24
-      THEN quantile_cont(cop_average, 0.1) OVER w END, false)::INT AS stress_hour
-FROM hourly WINDOW s AS (PARTITION BY series ORDER BY ts), w AS {FRAME}""",
+  coalesce(heat_demand_total >= CASE WHEN count(*) OVER v = 168
+      THEN quantile_cont(heat_demand_total, 0.9) OVER v END
+    AND cop_average <= CASE WHEN count(*) OVER v = 168
+      THEN quantile_cont(cop_average, 0.1) OVER v END, false)::INT AS stress_hour
+FROM hourly WINDOW s AS (PARTITION BY series ORDER BY ts), w AS {FRAME},
+  v AS (PARTITION BY series ORDER BY ts ROWS 167 PRECEDING)""",
 )
 def label_and_summarise(spark, sf_dir):
-    built = features.label_and_summarise(hourly(spark, sf_dir), SMALL_CHUNKS, window=24)
+    built = features.label_and_summarise(hourly(spark, sf_dir), SMALL_CHUNKS)
     return built.select(
         "series", "ts", "hour", "is_weekend", "is_winter", "is_summer",
         "demand_rolling_max_24h", "cop_rolling_min_24h", "demand_lag_24h", "stress_hour",
@@ -218,7 +219,7 @@ def engineer_features(spark, sf_dir):
 
 @query("process_table")
 def process_table(spark, sf_dir):
-    steps = features.Preprocessor(imputation="median", window=24, layout=SMALL_CHUNKS)
+    steps = features.Preprocessor(imputation="median", layout=SMALL_CHUNKS)
     built, _ = features.process(hourly(spark, sf_dir), steps)
     return built
 

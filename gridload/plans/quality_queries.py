@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridload.operators import checks, metrics, stress
 from gridload.plans.fixtures import gaps, hourly, models, with_views
 from gridload.plans.registry import query, rounded
-from gridload.plans.response_queries import DAY
+from gridload.plans.response_queries import WEEK
 from gridload.plans.scoring_queries import COUNTS, METRIC_SQL, PREDICTED, predicted
 from gridload.plans.series_queries import SMALL_CHUNKS
 
@@ -137,7 +137,7 @@ LABELLED = (
 
 @query(
     "check_processed",
-    with_views("hourly", *DAY, LABELLED)
+    with_views("hourly", *WEEK, LABELLED)
     + findings(
         ("low_stress_rate", "warning", "stress_hour", "rate", "$ < 0.001"),
         ("high_stress_rate", "warning", "stress_hour", "rate", "$ > 0.5"),
@@ -150,7 +150,7 @@ LABELLED = (
     ),
 )
 def check_processed(spark, sf_dir):
-    labelled = stress.label_dynamic(hourly(spark, sf_dir), window=24, layout=SMALL_CHUNKS)
+    labelled = stress.label_dynamic(hourly(spark, sf_dir), layout=SMALL_CHUNKS)
     return rounded(checks.check_processed(labelled))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridload.operators import curves, response, stress
@@ -15,20 +14,20 @@ from gridload.plans.series_queries import (
     dynamic_sql,
 )
 
-DAY = (
-    ("t", dynamic_sql("hourly", 24)),
+WEEK = (
+    ("t", dynamic_sql("hourly", 168)),
     ("l", f"SELECT *, {DYNAMIC_FLAGS} FROM t"),
 )
 
 
 def labelled(spark, sf_dir):
     rows = number_rows(hourly(spark, sf_dir), SMALL_CHUNKS)
-    return stress.label_dynamic(rows, window=24, layout=SMALL_CHUNKS)
+    return stress.label_dynamic(rows, window=168, layout=SMALL_CHUNKS)
 
 
 def adjusted_sql(change: str) -> tuple[tuple[str, str], ...]:
     """Demand after the change, relabelled against its own trailing quantiles."""
-    frame = "(PARTITION BY series ORDER BY ts ROWS 23 PRECEDING)"
+    frame = "(PARTITION BY series ORDER BY ts ROWS 167 PRECEDING)"
     return (
         (
             "a",
@@ -38,9 +37,9 @@ def adjusted_sql(change: str) -> tuple[tuple[str, str], ...]:
         ),
         (
             "b",
-            f"""SELECT *, coalesce(adj >= CASE WHEN count(adj) OVER {frame} = 24
+            f"""SELECT *, coalesce(adj >= CASE WHEN count(adj) OVER {frame} = 168
     THEN quantile_cont(adj, 0.9) OVER {frame} END
-  AND cop_average <= CASE WHEN count(cop_average) OVER {frame} = 24
+  AND cop_average <= CASE WHEN count(cop_average) OVER {frame} = 168
     THEN quantile_cont(cop_average, 0.1) OVER {frame} END, false)::INT AS after FROM a""",
         ),
     )
@@ -58,7 +57,7 @@ def action_sql(strategy: str) -> str:
     kind = "adaptive_reduction" if strategy == "adaptive" else "demand_reduction"
     severity = f"round({SEVERITY}, 6)" if strategy == "adaptive" else "NULL::DOUBLE"
     return (
-        with_views("hourly", *DAY)
+        with_views("hourly", *WEEK)
         + f"""SELECT series, ts, '{kind}' AS action_type, round({CHANGE[strategy]}, 6) AS demand_change,
   {severity} AS severity_factor, '{strategy}' AS strategy FROM l WHERE stress_hour = 1"""
     )
@@ -67,7 +66,7 @@ def action_sql(strategy: str) -> str:
 def actions(strategy):
     def run(spark, sf_dir):
         acted = response.respond(
-            labelled(spark, sf_dir), strategy, window=24, layout=SMALL_CHUNKS
+            labelled(spark, sf_dir), strategy, window=168, layout=SMALL_CHUNKS
         )
         return rounded(response.action_list(acted, strategy))
 
@@ -76,7 +75,7 @@ def actions(strategy):
 
 def impact_sql(strategy: str) -> str:
     return (
-        with_views("hourly", *DAY, *adjusted_sql(CHANGE[strategy]))
+        with_views("hourly", *WEEK, *adjusted_sql(CHANGE[strategy]))
         + f"""SELECT series, CASE WHEN n > 0 THEN '{strategy}' ELSE 'none' END AS strategy,
   n AS stress_hours_original, CASE WHEN n > 0 THEN m ELSE 0 END AS stress_hours_after_dr,
   n - CASE WHEN n > 0 THEN m ELSE 0 END AS stress_reduction,
@@ -91,7 +90,7 @@ FROM (SELECT series, sum(stress_hour)::BIGINT AS n, sum(after)::BIGINT AS m,
 def impact(strategy):
     def run(spark, sf_dir):
         table = response.response_impact(
-            labelled(spark, sf_dir), strategy, window=24, layout=SMALL_CHUNKS
+            labelled(spark, sf_dir), strategy, window=168, layout=SMALL_CHUNKS
         )
         return rounded(
             table.withColumn("total_demand_change", F.round("total_demand_change", 4))
@@ -114,12 +113,12 @@ for _strategy in response.STRATEGIES:
 )
 def response_impact_none(spark, sf_dir):
     calm = hourly(spark, sf_dir).withColumn("stress_hour", F.lit(0))
-    return response.response_impact(calm, "aggressive", window=24, layout=SMALL_CHUNKS)
+    return response.response_impact(calm, "aggressive", window=168, layout=SMALL_CHUNKS)
 
 
 TOP = (
     "k",
-    """SELECT *, (row_number() OVER (PARTITION BY series ORDER BY heat_demand_total DESC, ts) <= 20)::INT
+    """SELECT *, (heat_demand_total > round(quantile_cont(heat_demand_total, 0.9) OVER (PARTITION BY series), 6))::INT
   AS stress_hour FROM hourly""",
 )
 TARGETS = (
@@ -133,19 +132,15 @@ QUALIFY row_number() OVER (PARTITION BY a.series, a.ts ORDER BY b.heat_demand_to
 
 
 def top_demand(spark, sf_dir):
-    """Marks the 20 highest hours of each series."""
-    order = Window.partitionBy("series").orderBy(F.desc("heat_demand_total"), "ts")
-    tops = (
-        hourly(spark, sf_dir)
-        .withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= 20)
-        .select("series", "ts", F.lit(1).alias("_top"))
+    """Marks the hours above the 90 % quantile of their series."""
+    limits = hourly(spark, sf_dir).groupBy("series").agg(
+        F.round(F.percentile("heat_demand_total", F.lit(0.9)), 6).alias("_limit")
     )
     return (
         hourly(spark, sf_dir)
-        .join(tops, ["series", "ts"], "left")
-        .withColumn("stress_hour", F.coalesce("_top", F.lit(0)))
-        .drop("_top")
+        .join(limits, "series")
+        .withColumn("stress_hour", (F.col("heat_demand_total") > F.col("_limit")).cast("int"))
+        .drop("_limit")
     )
 
 
@@ -203,7 +198,7 @@ def load_shift_applied(spark, sf_dir):
     return rounded(shifted.select("series", "ts", "shift_change", "adjusted_demand"), 5)
 
 
-_FRAME = "(PARTITION BY series ORDER BY ts ROWS 23 PRECEDING)"
+_FRAME = "(PARTITION BY series ORDER BY ts ROWS 167 PRECEDING)"
 
 
 @query(
@@ -217,9 +212,9 @@ _FRAME = "(PARTITION BY series ORDER BY ts ROWS 23 PRECEDING)"
         ("aj", "SELECT *, heat_demand_total + shift_change AS adj FROM sh"),
         (
             "b",
-            f"""SELECT *, coalesce(adj >= CASE WHEN count(adj) OVER {_FRAME} = 24
+            f"""SELECT *, coalesce(adj >= CASE WHEN count(adj) OVER {_FRAME} = 168
     THEN quantile_cont(adj, 0.9) OVER {_FRAME} END
-  AND cop_average <= CASE WHEN count(cop_average) OVER {_FRAME} = 24
+  AND cop_average <= CASE WHEN count(cop_average) OVER {_FRAME} = 168
     THEN quantile_cont(cop_average, 0.1) OVER {_FRAME} END, false)::INT AS after FROM aj""",
         ),
         (
@@ -238,7 +233,7 @@ _FRAME = "(PARTITION BY series ORDER BY ts ROWS 23 PRECEDING)"
   round(coalesce(mean, 0e0), 5) AS average_demand_shift FROM g LEFT JOIN mv USING (series)""",
 )
 def load_shift_impact(spark, sf_dir):
-    table = response.shift_impact(top_demand(spark, sf_dir), window=24, layout=SMALL_CHUNKS)
+    table = response.shift_impact(top_demand(spark, sf_dir), window=168, layout=SMALL_CHUNKS)
     return table.select(
         "series",
         "stress_hours_original",
@@ -357,7 +352,7 @@ def response_table(spark, sf_dir):
 
 @query(
     "impact_table",
-    with_views("hourly", *DAY, *adjusted_sql(CHANGE["conservative"]))
+    with_views("hourly", *WEEK, *adjusted_sql(CHANGE["conservative"]))
     + """SELECT series AS "Scenario", 0.6e0 AS "Threshold", 0.1e0 AS "Shift Fraction",
   printf('%.1f', coalesce((n - CASE WHEN n > 0 THEN m ELSE 0 END) / nullif(n, 0) * 100, 0e0))
     AS "Peak Reduction (%)",
@@ -370,7 +365,7 @@ def impact_table(spark, sf_dir):
         F.count_distinct(F.to_date("ts")).alias("days")
     )
     impacts = response.response_impact(
-        labelled(spark, sf_dir), "conservative", window=24, layout=SMALL_CHUNKS
+        labelled(spark, sf_dir), "conservative", window=168, layout=SMALL_CHUNKS
     ).join(days, "series")
     return response.impact_table(
         impacts.withColumnsRenamed({"series": "scenario"})

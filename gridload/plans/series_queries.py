@@ -223,7 +223,7 @@ def stress_dynamic_week(spark, sf_dir):
 
 @query(
     "stress_summary",
-    with_views("hourly", ("t", dynamic_sql("hourly", 24)), ("l", f"SELECT *, {DYNAMIC_FLAGS} FROM t"))
+    with_views("hourly", ("t", dynamic_sql("hourly", 168)), ("l", f"SELECT *, {DYNAMIC_FLAGS} FROM t"))
     + """SELECT series, count(*) AS total_hours, sum(stress_hour)::BIGINT AS stress_hours,
   round(avg(stress_hour), 6) AS stress_rate, round(avg(heat_demand_total), 6) AS avg_demand,
   round(avg(cop_average), 6) AS avg_cop, max(heat_demand_total) AS peak_demand
@@ -231,19 +231,19 @@ FROM l GROUP BY series""",
 )
 def stress_summary(spark, sf_dir):
     """Stress hours and rate per series (the flagship)."""
-    labelled = stress.label_dynamic(hourly(spark, sf_dir), window=24, layout=SMALL_CHUNKS)
+    labelled = stress.label_dynamic(hourly(spark, sf_dir), layout=SMALL_CHUNKS)
     return rounded(stress.selection_summary(labelled, ["series"]))
 
 
 @query(
     "stress_label_lags",
-    with_views("hourly", ("t", dynamic_sql("hourly", 24)), ("l", f"SELECT *, {DYNAMIC_FLAGS} FROM t"))
+    with_views("hourly", ("t", dynamic_sql("hourly", 168)), ("l", f"SELECT *, {DYNAMIC_FLAGS} FROM t"))
     + """SELECT series, ts, stress_hour, coalesce(lag(stress_hour, 1) OVER s, 0) AS stress_lag_1,
   coalesce(lag(stress_hour, 24) OVER s, 0) AS stress_lag_24
 FROM l WINDOW s AS (PARTITION BY series ORDER BY ts)""",
 )
 def stress_label_lags(spark, sf_dir):
-    labelled = stress.label_dynamic(hourly(spark, sf_dir), window=24, layout=SMALL_CHUNKS)
+    labelled = stress.label_dynamic(hourly(spark, sf_dir), layout=SMALL_CHUNKS)
     return rolling.add_label_lags(labelled, layout=SMALL_CHUNKS).select(
         "series", "ts", "stress_hour", "stress_lag_1", "stress_lag_24"
     )

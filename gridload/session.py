@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: folders made by this process, see ``clean_up``
+_MADE: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings every operator assumes (UTC clock, AQE)."""
@@ -41,7 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -67,13 +72,13 @@ def discard(df: DataFrame) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and read it back.
+    """``written``, for intermediate results that several later steps need."""
+    return written(df, "durable")
 
-    For results several later steps need: they survive lost executors and are not
-    computed again.
-    """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every folder this process made under the shared folder."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(configuration).delete(path, True)

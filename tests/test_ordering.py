@@ -58,9 +58,10 @@ def test_numbering_is_shared(hourly_df):
     )
 
 
-def test_halo_must_fit_a_chunk(hourly_df):
-    with pytest.raises(ValueError, match="halo"):
-        rolling.add_rolling(hourly_df, ["cop_average"], [168], TINY)
+def test_look_back_may_span_several_chunks(hourly_df):
+    got = rolling.add_rolling(hourly_df, ["cop_average"], [168], TINY)
+    want = rolling.add_rolling(hourly_df, ["cop_average"], [168], WHOLE)
+    pd.testing.assert_frame_equal(frame(got, "series", "ts"), frame(want, "series", "ts"))
 
 
 def test_rolling_matches_pandas(hourly_df, hours):
