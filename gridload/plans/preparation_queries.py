@@ -30,14 +30,14 @@ def two_gaps(spark, sf_dir):
     )
 
 
-def knn_sql(column: str) -> str:
+def knn_sql(column: str, view: str = "gg") -> str:
     cols = ("heat_demand_total", "cop_average", "hour")
     shared = " + ".join(f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)::INT" for c in cols)
     total = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0e0)" for c in cols)
     return f"""SELECT series, ts, avg(v) AS v FROM (
   SELECT a.series, a.ts, b.{column} AS v, row_number() OVER (PARTITION BY a.series, a.ts
     ORDER BY ({total}) * (3e0 / ({shared})), b.ts) AS r
-  FROM gg a JOIN gg b ON a.series = b.series AND b.{column} IS NOT NULL
+  FROM {view} a JOIN {view} b ON a.series = b.series AND b.{column} IS NOT NULL
   WHERE a.{column} IS NULL) WHERE r <= 5 GROUP BY 1, 2"""
 
 
@@ -58,6 +58,44 @@ def knn_impute_query(spark, sf_dir):
     return rounded(filled, 5)
 
 
+def _scattered_gap(column: str) -> str:
+    stamp = f"series || strftime(ts, '%Y-%m-%d %H') || '{column}'"
+    return f"CASE WHEN substr(md5({stamp}), 1, 2) >= '0d' THEN {column} END AS {column}"
+
+
+SCATTERED = (
+    "sg",
+    "SELECT series, ts, " + ", ".join(_scattered_gap(c) for c in MEASURES) + ", hour(ts)::INT AS hour FROM hourly",
+)
+
+
+@query(
+    "knn_impute_scattered",
+    with_views(
+        "hourly",
+        SCATTERED,
+        ("kd", knn_sql("heat_demand_total", "sg")),
+        ("kc", knn_sql("cop_average", "sg")),
+    )
+    + """SELECT sg.series, sg.ts, round(coalesce(heat_demand_total, kd.v), 5) AS heat_demand_total,
+  round(coalesce(cop_average, kc.v), 5) AS cop_average, hour FROM sg
+LEFT JOIN kd ON sg.series = kd.series AND sg.ts = kd.ts
+LEFT JOIN kc ON sg.series = kc.series AND sg.ts = kc.ts""",
+)
+def knn_impute_scattered(spark, sf_dir):
+    """A twentieth of the cells of two columns is missing at random."""
+
+    def gap(c):
+        stamp = F.concat("series", F.date_format("ts", "yyyy-MM-dd HH"), F.lit(c))
+        return F.when(F.substring(F.md5(stamp), 1, 2) >= "0d", F.col(c)).alias(c)
+
+    rows = hourly(spark, sf_dir).select(
+        "series", "ts", *[gap(c) for c in MEASURES], F.hour("ts").alias("hour")
+    )
+    filled = knn_impute(rows, [*MEASURES, "hour"], layout=SMALL_CHUNKS, tile_rows=256)
+    return rounded(filled, 5)
+
+
 @query(
     "mean_impute",
     with_views("gaps", ("m", "SELECT avg(heat_demand_total) AS d FROM gaps"))

@@ -77,6 +77,44 @@ def test_knn_with_separate_donors(spark, holes):
     np.testing.assert_allclose(got[columns].to_numpy(), want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("case", ["demand", "both", "outage"])
+def test_knn_searches_few_tiles(spark, case):
+    n, rng = 20_000, np.random.default_rng(5)
+    hour = np.arange(n)
+    year, day = 2 * np.pi * hour / 8766, 2 * np.pi * hour / 24
+    frame = pd.DataFrame(
+        {
+            "series": "one",
+            "ts": pd.date_range("2020-01-01", periods=n, freq="h"),
+            "demand": 100 + 60 * np.cos(year) + 10 * np.cos(day) + rng.normal(0, 5, n),
+            "cop": 3 - np.cos(year) + 0.2 * np.sin(day) + rng.normal(0, 0.1, n),
+        }
+    )
+    if case == "outage":
+        frame.loc[9_000:9_999, "demand"] = np.nan
+    else:
+        frame.loc[rng.random(n) < 0.05, "demand"] = np.nan
+    if case == "both":
+        frame.loc[rng.random(n) < 0.05, "cop"] = np.nan
+    effort = {}
+    df = as_df(spark, frame)
+    got = knn_impute(df, ["demand", "cop"], tile_rows=512, effort=effort).toPandas()
+    assert effort["searched"] < 0.1 * effort["pairs"], effort
+    got = got.sort_values("ts").reset_index(drop=True)
+    some = np.flatnonzero(frame.demand.isna() | frame.cop.isna())[::97]
+    values = frame[["demand", "cop"]].to_numpy()
+    for i in some:
+        known = ~np.isnan(values) & ~np.isnan(values[i])
+        gap = np.where(known, values - values[i], 0.0) ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(known.any(axis=1), gap.sum(axis=1) * 2 / known.sum(axis=1), np.inf)
+        for c, name in enumerate(("demand", "cop")):
+            if np.isnan(values[i, c]) and known[i].any():
+                usable = np.flatnonzero(~np.isnan(values[:, c]) & np.isfinite(d))
+                best = usable[np.lexsort((usable, d[usable]))[:5]]
+                assert got.loc[i, name] == pytest.approx(values[best, c].mean(), rel=1e-9)
+
+
 def test_unseen_rows_get_stored_statistics(spark):
     train = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
     model = FillStatistic("mean").fit(train)
