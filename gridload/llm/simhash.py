@@ -1,13 +1,13 @@
 """SimHash near-duplicates: fingerprints, trie self-join, connected components.
 
 Fingerprint: A-Z to lower case, words between ASCII blanks, shingles of ``size`` words
-(repeats included), one XXH64 each; a bit is set where more than half the hashes have
+(repeats included by default), one XXH64 each; a bit is set where more than half the hashes have
 it. Two fingerprints link at ``budget`` or fewer differing bits.
 
 Longer fingerprints (``words`` of 64 bits, the further ones mixed from the same hashes)
 estimate similarity: a share ``d`` of differing bits means a cosine of ``cos(pi d)``.
-The stage of the corpus pipeline uses 256 bits over five-word shingles and links at 42
-bits, a Jaccard similarity of about 0.8.
+The stage of the corpus pipeline uses 256 bits over distinct five-word shingles and links
+at 42 bits, a Jaccard similarity of about 0.8.
 
 Self-join. Only distinct fingerprints take part, so exact copies cost nothing. A pair
 links if it differs in at most ``budget`` bits and in at most one bit of some band. The
@@ -65,7 +65,7 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _fingerprint_of(text: str, size: int, words: int = 1) -> list[int]:
+def _fingerprint_of(text: str, size: int, words: int = 1, repeats: bool = True) -> list[int]:
     found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
         return [0] * words
@@ -76,19 +76,28 @@ def _fingerprint_of(text: str, size: int, words: int = 1) -> list[int]:
     last = min(size, len(found)) - 1
     ends, starts = ends[last:], starts[: len(found) - last]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    votes, total = np.zeros((words, BITS), np.int64), len(starts)
-    for at in range(0, total, _CHUNK):
+    every = np.empty(len(starts), "<u8")
+    for at in range(0, len(starts), _CHUNK):
         some = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(view[a:b], seed=42) for a, b in some], "<u8")
+        every[at : at + _CHUNK] = [digest(view[a:b], seed=42) for a, b in some]
+    if not repeats:
+        every = np.unique(every)
+    votes, total = np.zeros((words, BITS), np.int64), len(every)
+    for at in range(0, total, _CHUNK):
         for word in range(words):
-            octets = np.ascontiguousarray(_mixed(hashes, word)).view(np.uint8).reshape(-1, 8)
+            octets = np.ascontiguousarray(_mixed(every[at : at + _CHUNK], word)).view(np.uint8).reshape(-1, 8)
             votes[word] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(votes * 2 > total, axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprint(text: Column, size: int = SHINGLE, words: int = 1) -> Column:
-    """SimHash of a text: an array of ``words`` signed longs."""
-    return per_text(lambda: lambda texts: [_fingerprint_of(t, size, words) for t in texts], "array<bigint>")(text)
+def fingerprint(text: Column, size: int = SHINGLE, words: int = 1, repeats: bool = True) -> Column:
+    """SimHash of a text: an array of ``words`` signed longs. ``repeats``: a shingle votes
+    as often as it occurs, else once."""
+
+    def all_of(texts: list[str]) -> list[list[int]]:
+        return [_fingerprint_of(t, size, words, repeats) for t in texts]
+
+    return per_text(lambda: all_of, "array<bigint>")(text)
 
 
 def as_hex(value: Column) -> Column:
@@ -286,6 +295,7 @@ def near_duplicates(
     text: str = "text",
     size: int = SHINGLE,
     words: int = 1,
+    repeats: bool = True,
     **links,
 ) -> DataFrame:
     """(doc_id, fp, component_id, copies) per row of ``docs``.
@@ -293,7 +303,7 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over links; ``copies`` is the number
     of rows with the same fingerprint. ``links`` are options of ``link_fingerprints``.
     """
-    mark = fingerprint(F.col(text), size, words)
+    mark = fingerprint(F.col(text), size, words, repeats)
     marked = docs.select(F.col(doc_id).alias("doc_id"), mark.alias("fp"))
     # a node is the fingerprint itself, or a 64-bit hash of a longer one
     marked = written(marked.withColumn("node", F.col("fp")[0] if words == 1 else F.xxhash64("fp")), "fingerprints")

@@ -144,9 +144,16 @@ def test_long_fingerprints_find_similar_texts(spark):
         for k in rng.sample(range(200), 2):  # ten of 196 shingles change: similarity 0.9
             words[k] = word()
         rows.append((i + 1, " ".join(words)))
+    for i in (1000, 1001):  # one repeated shingle does not make texts alike
+        rows.append((i, "x " * 500 + " ".join(word() for _ in range(40))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.near_duplicates(
-        docs, size=simhash.LONG_SHINGLE, words=simhash.LONG_WORDS, bands=simhash.LONG_BANDS, budget=simhash.LONG_BUDGET
+        docs,
+        size=simhash.LONG_SHINGLE,
+        words=simhash.LONG_WORDS,
+        repeats=False,
+        bands=simhash.LONG_BANDS,
+        budget=simhash.LONG_BUDGET,
     )
     classes = {r.doc_id: r.component_id for r in got.collect()}
     assert sum(classes[i + 1] == i for i in range(0, 400, 2)) >= 196
