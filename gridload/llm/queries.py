@@ -39,7 +39,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op5_decontaminate")
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op5_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+    items AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0),
+    windows AS (
+        SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+        FROM items, generate_series(1, len(ws) - n + 1) AS s(i)),
+    grams AS (
+        SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+        FROM d, (SELECT DISTINCT n FROM windows), generate_series(1, len(ws) - n + 1) AS s(i)),
+    hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, g)),
+    places AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, generate_series(0, 9) AS s(k) WHERE k < n GROUP BY doc_id),
+    found AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+)
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -60,7 +87,54 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.as_hex(F.col("fp")[0]).alias("fingerprint"), "component_id", "copies")
 
 
-@query("op1_secrets")
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_SQL_PATTERNS = (
+    (0, rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2),
+    (1, "AKIA[A-Z0-9]{12,}", 0),
+    (2, "[0-9a-f]{32,}", 0),
+    (3, "[A-Za-z0-9+/_-]{20,}", 0),
+)
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, source, {kind} AS kind, regexp_extract_all(t, '{p}', 0) AS whole,
+        regexp_extract_all(t, '{p}', {group}) AS val, string_split_regex(t, '{p}') AS gaps
+        FROM d WHERE regexp_matches(t, '{p}')"""
+    for kind, p, group in _SQL_PATTERNS
+)
+_OP1_SQL = f"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    m AS ({_MATCHES}),
+    placed AS (
+        SELECT doc_id, source, kind, val[i] AS value, length(whole[i]) AS n,
+               CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                    + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+        FROM m, generate_series(1, len(whole)) AS g(i)),
+    base AS (SELECT * FROM placed WHERE kind IN (1, 2) OR (kind = 0 AND length(value) >= 8)),
+    mixed AS (
+        SELECT * FROM placed p WHERE kind = 3 AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+        AND regexp_matches(value, '[0-9]') AND NOT EXISTS (
+            SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.a < p.a + p.n AND p.a < b.a + b.n)),
+    found AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+    judged AS (
+        SELECT f.*, owners <= 1 AS live, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || a || ':' || (a + n) AS s
+        FROM found f JOIN (SELECT value, count(DISTINCT source) AS owners FROM found GROUP BY value) o USING (value)),
+    kept AS (SELECT * FROM judged WHERE kind < 3 OR live),
+    each AS (
+        SELECT doc_id, count_if(kind = 0) AS n0, count_if(kind = 1) AS n1, count_if(kind = 2) AS n2,
+               string_agg(s, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS b, string_agg(s, ',' ORDER BY a, kind) AS e,
+               count_if(live) AS n_live, count_if(NOT live) AS n_copied
+        FROM kept GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access,
+           CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(e, '') AS spans,
+           CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_copied, 0) AS BIGINT) AS n_copied
+    FROM documents LEFT JOIN each USING (doc_id)
+    """
+
+
+@query("op1_secrets", _OP1_SQL)
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a source is an owner, its documents in one language are a repository
     docs = table(spark, sf_dir, "documents")
@@ -224,7 +298,56 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(neighbours.build_index(rows), rows.filter("vec_id % 100 = 0"))
 
 
-@query("op10_licences")
+_LICENCE_WORDS = r"regexp_extract_all(lower({}), '[\pL\pN]+(?:\.[0-9]+)*')"
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+
+
+@query(
+    "op10_licences",
+    f"""
+    WITH t AS (SELECT k, name, {_LICENCE_WORDS.format("text")} AS ws FROM (VALUES {_TEMPLATE_ROWS}) v(k, name, text)),
+    tw AS (SELECT k, w, count(*) AS c FROM (SELECT k, unnest(ws) AS w FROM t) GROUP BY k, w),
+    vocabulary AS (SELECT DISTINCT w FROM tw),
+    p AS (
+        SELECT doc_id, source || '/' || lang || '/' || (doc_id // 100) AS dir, coalesce(text, '') AS text,
+               array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)),
+                   lambda x: regexp_matches(x, '{licences.MARKS}')), chr(10)) AS passage FROM documents),
+    pp AS (
+        SELECT *, {_LICENCE_WORDS.format("passage")} AS ws, length(passage) >= 0.1e0 * length(text) AS is_file
+        FROM p WHERE len({_LICENCE_WORDS.format("passage")}) > 0),
+    total AS (SELECT count(*) AS n FROM pp),
+    pw AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM pp) GROUP BY doc_id, w),
+    df AS (SELECT w, count(*) AS d FROM pw JOIN vocabulary USING (w) GROUP BY w),
+    idf AS (SELECT w, ln((1 + n) / (1 + coalesce(d, 0))) + 1 AS i FROM vocabulary LEFT JOIN df USING (w), total),
+    tv AS (SELECT k, w, (1 + ln(c)) * i AS v FROM tw JOIN idf USING (w)),
+    tn AS (SELECT k, sqrt(sum(v * v)) AS size FROM tv GROUP BY k),
+    pv AS (SELECT doc_id, w, (1 + ln(c)) * coalesce(i, ln(1 + n) + 1) AS v FROM pw LEFT JOIN idf USING (w), total),
+    pn AS (SELECT doc_id, sqrt(sum(v * v)) AS size FROM pv GROUP BY doc_id),
+    cosines AS (
+        SELECT pv.doc_id, tv.k, sum(pv.v * tv.v) / any_value(pn.size) / any_value(tn.size) AS c
+        FROM pv JOIN tv USING (w) JOIN pn ON pn.doc_id = pv.doc_id JOIN tn ON tn.k = tv.k GROUP BY pv.doc_id, tv.k),
+    best AS (
+        SELECT doc_id, name, c FROM cosines JOIN t USING (k)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 12) DESC, k) = 1),
+    judged AS (
+        SELECT p.doc_id, p.dir, b.name, least(coalesce(b.c, 0), 1) AS cosine, coalesce(b.c, 0) >= 0.6e0 AS own,
+               coalesce(pp.is_file, false) AS is_file
+        FROM p LEFT JOIN best b USING (doc_id) LEFT JOIN pp USING (doc_id)),
+    files AS (SELECT dir, name, count(*) AS n FROM judged WHERE own AND is_file GROUP BY dir, name),
+    of_dir AS (
+        SELECT dir AS from_dir, name FROM files QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, name DESC) = 1),
+    above AS (
+        SELECT DISTINCT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS from_dir
+        FROM judged, generate_series(0, 3) AS s(depth) WHERE NOT own),
+    near AS (
+        SELECT dir, from_dir, name FROM above JOIN of_dir USING (from_dir)
+        QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)
+    SELECT doc_id, j.dir, CASE WHEN own THEN j.name ELSE coalesce(near.name, 'none') END AS licence,
+           CASE WHEN own THEN 'own' WHEN near.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+           round(CAST(cosine AS DOUBLE), 6) AS cosine, CASE WHEN own THEN j.dir ELSE near.from_dir END AS from_dir
+    FROM judged j LEFT JOIN near ON near.dir = j.dir
+    """,
+)
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     # documents have no paths: source, language and a shelf of 100 ids are the directories
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
