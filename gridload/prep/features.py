@@ -158,7 +158,8 @@ class Preprocessor:
             forest = IsolationForest(
                 columns, key, self.contamination, seed=self.seed
             ).fit(ready)
-            ready = forest.transform(ready)
+            # the survivors are scored once, for the scaler's quantiles and the output
+            ready = durable(forest.transform(ready))
         scaled = [c for c in columns if c not in NOT_SCALED] if columns else None
         scaler = Scale(self.scaling, scaled).fit(ready)
         return scaler.transform(ready), PreprocessorModel(self, filler, forest, scaler)
@@ -205,7 +206,7 @@ def process(
 ) -> tuple[DataFrame, PreprocessorModel]:
     """Preprocess, engineer features on the surviving rows, and check the result."""
     processed, model = preprocessor.fit_transform(df)
-    built = engineer(processed, layout=preprocessor.layout)
+    built = durable(engineer(processed, layout=preprocessor.layout))
     for finding in guard_processed(built).collect():
         log.warning("%s: %s", finding["check"], finding["value"])
     return built, model

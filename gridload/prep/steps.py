@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Sequence
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridload.operators.ordering import DEFAULT_LAYOUT, SeriesLayout
@@ -68,9 +70,24 @@ class FillNeighbours(Step):
 
 class NeighbourModel(Fitted):
     def __init__(self, donors: DataFrame, columns: list[str], k: int, layout: SeriesLayout):
-        super().__init__({"columns": columns, "k": k})
+        super().__init__({"columns": columns, "k": k, "layout": asdict(layout)})
         self.donors, self.layout = donors, layout
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The donors are part of the model: a table beside its description."""
+        super().save(spark, f"{path}/state")
+        keys = [*self.layout.keys, self.layout.time]
+        self.donors.select(*keys, *self.state["columns"]).write.mode("overwrite").parquet(f"{path}/donors")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeighbourModel:
+        row = spark.read.schema("kind string, state string").json(f"{path}/state").first()
+        if row is None or row["kind"] != cls.__name__:
+            raise ValueError(f"{path} does not hold a {cls.__name__}")
+        state = json.loads(row["state"])
+        layout = SeriesLayout(**{**state["layout"], "keys": tuple(state["layout"]["keys"])})
+        return cls(spark.read.parquet(f"{path}/donors"), state["columns"], state["k"], layout)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         columns = self.state["columns"]
         donors = None if df is self.donors else self.donors

@@ -16,7 +16,7 @@ from gridload.plans.analysis import run_analysis
 from gridload.prep.features import Preprocessor, engineer, pipeline_info
 from gridload.prep.isolation import IsolationForest, IsolationModel
 from gridload.prep.neighbours import knn_impute
-from gridload.prep.steps import FillModel, FillStatistic, Scale
+from gridload.prep.steps import FillModel, FillNeighbours, FillStatistic, NeighbourModel, Scale
 from gridload.session import new_path
 from gridload.sources import sinks, tables
 
@@ -77,6 +77,30 @@ def test_knn_with_separate_donors(spark, holes):
     np.testing.assert_allclose(got[columns].to_numpy(), want, rtol=1e-9)
 
 
+def test_neighbour_model_round_trip(spark, holes):
+    columns = ["a", "b", "c"]
+    model = FillNeighbours(columns, k=3).fit(as_df(spark, holes.iloc[:200]))
+    path = new_path(spark, "neighbours")
+    model.save(spark, path)
+    again = NeighbourModel.load(spark, path)
+    fresh = as_df(spark, holes.iloc[200:260])
+    rows = lambda m: sorted(map(tuple, m.transform(fresh).select("series", "ts", *columns).collect()))
+    assert rows(again) == rows(model) and again.layout == model.layout
+    with pytest.raises(ValueError):
+        NeighbourModel.load(spark, _broken(spark, "state"))
+
+
+def test_unreadable_model_file(spark):
+    with pytest.raises(ValueError, match="unreadable"):
+        FittedClassifier.load(_broken(spark, "info"), spark)
+
+
+def _broken(spark, part):
+    path = new_path(spark, "broken")
+    spark.createDataFrame([("not json {",)], "value string").write.text(f"{path}/{part}")
+    return path
+
+
 @pytest.mark.parametrize("case", ["demand", "both", "outage"])
 def test_knn_searches_few_tiles(spark, case):
     n, rng = 20_000, np.random.default_rng(5)
