@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,21 +101,30 @@ def run_analysis(
     train = rows.filter("in_train = 1")
     val = rows.filter("in_val = 1")
     row_id = F.concat_ws("|", *layout.keys, F.col(layout.time).cast("string"))
-    models, decision, scored = {}, {}, None
-    for name, (kind, settings) in (kinds or MODEL_KINDS).items():
+
+    def one(name: str, kind: str, settings: dict) -> tuple[FittedClassifier, float, DataFrame]:
         learner = CostSensitiveClassifier(kind, cost_ratio, settings=settings)
-        models[name] = learner.fit(train, features, label)
+        model = learner.fit(train, features, label)
         found = optimise_thresholds(
             learner, val.withColumn("_id", row_id), features, label, folds, "_id", names=["f1"]
         )
-        decision[name] = float(found.first()["threshold"])
-        part = models[name].score_rows(val).select(
+        part = model.score_rows(val).select(
             F.lit(name).alias("model"),
             F.explode(F.array(F.lit("val"), F.lit("test"))).alias("part"),
             F.col(label).alias("y_true"),
             "y_proba",
         )
-        scored = part if scored is None else scored.unionByName(part)
+        return model, float(found.first()["threshold"]), part
+
+    # the models do not depend on each other: their many small jobs share the cluster
+    chosen = kinds or MODEL_KINDS
+    with ThreadPoolExecutor(len(chosen)) as pool:
+        jobs = {name: pool.submit(one, name, *how) for name, how in chosen.items()}
+        done = {name: job.result() for name, job in jobs.items()}
+    models = {name: model for name, (model, _, _) in done.items()}
+    decision = {name: threshold for name, (_, threshold, _) in done.items()}
+    parts = [part for _, _, part in done.values()]
+    scored = reduce(DataFrame.unionByName, parts)
     report = optimal_report(scored, decision, ["model", "part"])
     best = models.get("gradient_boosting") or next(iter(models.values()))
     response = trigger_estimates(
