@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -20,9 +21,15 @@ _MADE: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings every operator assumes (UTC clock, AQE)."""
+    """Apply the run-time settings every operator assumes (UTC clock, AQE), and let
+    Python workers find this package wherever the driver was started."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    workers = spark.sparkContext.environment
+    known = [p for p in workers.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        workers["PYTHONPATH"] = os.pathsep.join([root, *known])
     return spark
 
 
