@@ -7,8 +7,9 @@ folder and hands it to the next. Rows without text, or empty, are clean and stay
 * toxicity: rows scored 0.7 or more go. Labels come from ``labels``.
 * line dedup: lines in later occurrences of repeated three-line windows are cut out; a
   row left without any word is a copy and goes.
-* near-duplicates: 256-bit SimHash over distinct five-word shingles, linked at a similarity of
-  about 0.8; one row of each class stays, the one with the smallest id.
+* near-duplicates: 256-bit SimHash over distinct five-word shingles names candidates; texts
+  whose sets of shingles have a Jaccard similarity of 0.8 or more are united. One row of
+  each class stays, the one with the smallest id.
 * decontamination: passages of ``benchmark`` items are cut out, rows with more than
   half of their words hit go.
 * mixing: every row gets its slot in the Pfair schedule over sources; rows are written
@@ -49,14 +50,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(
-        docs,
-        size=simhash.LONG_SHINGLE,
-        words=simhash.LONG_WORDS,
-        repeats=False,
-        bands=simhash.LONG_BANDS,
-        budget=simhash.LONG_BUDGET,
-    )
+    return simhash.drop_near_duplicates(docs, classes=simhash.similar_documents)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

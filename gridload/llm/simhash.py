@@ -6,8 +6,9 @@ it. Two fingerprints link at ``budget`` or fewer differing bits.
 
 Longer fingerprints (``words`` of 64 bits, the further ones mixed from the same hashes)
 estimate similarity: a share ``d`` of differing bits means a cosine of ``cos(pi d)``.
-The stage of the corpus pipeline uses 256 bits over distinct five-word shingles and links
-at 42 bits, a Jaccard similarity of about 0.8.
+The stage of the corpus pipeline (``similar_documents``) uses 256 bits over distinct
+five-word shingles. There links only name candidates: within the classes that they connect,
+the sets of shingles are compared before two texts are united.
 
 Self-join. Only distinct fingerprints take part, so exact copies cost nothing. A pair
 links if it differs in at most ``budget`` bits and in at most one bit of some band. The
@@ -48,6 +49,9 @@ BANDS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
 #: shingle, words, budget and bands for similarities of 0.8 and more
 LONG_SHINGLE, LONG_WORDS, LONG_BUDGET = 5, 4, 42
 LONG_BANDS = tuple((k // 4, k % 4 * 16, 16) for k in range(8))
+LONG_LEAST = 0.8
+#: shingles of the sets that one cell compares
+SETS_CELL = 1 << 20
 #: fingerprints aimed at per prefix, and the most that one cell takes from a prefix
 CELL, CELL_MOST = 32_768, 65_536
 _CHUNK = 1 << 17
@@ -65,10 +69,11 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _fingerprint_of(text: str, size: int, words: int = 1, repeats: bool = True) -> list[int]:
+def _hashes_of(text: str, size: int) -> np.ndarray:
+    """The hash of every shingle of a text, in order; none for a text without words."""
     found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
-        return [0] * words
+        return np.empty(0, "<u8")
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
     ends = np.cumsum(lengths) - 1
@@ -80,8 +85,10 @@ def _fingerprint_of(text: str, size: int, words: int = 1, repeats: bool = True)
     for at in range(0, len(starts), _CHUNK):
         some = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
         every[at : at + _CHUNK] = [digest(view[a:b], seed=42) for a, b in some]
-    if not repeats:
-        every = np.unique(every)
+    return every
+
+
+def _voted(every: np.ndarray, words: int) -> list[int]:
     votes, total = np.zeros((words, BITS), np.int64), len(every)
     for at in range(0, total, _CHUNK):
         for word in range(words):
@@ -94,8 +101,36 @@ def fingerprint(text: Column, size: int = SHINGLE, words: int = 1, repeats: bool
     """SimHash of a text: an array of ``words`` signed longs. ``repeats``: a shingle votes
     as often as it occurs, else once."""
 
+    def one(text: str) -> list[int]:
+        every = _hashes_of(text, size)
+        return _voted(every if repeats else np.unique(every), words)
+
     def all_of(texts: list[str]) -> list[list[int]]:
-        return [_fingerprint_of(t, size, words, repeats) for t in texts]
+        return [one(t) for t in texts]
+
+    return per_text(lambda: all_of, "array<bigint>")(text)
+
+
+def _digest(every: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(every.tobytes(), seed=42)).astype(np.int64))
+
+
+def sketch(text: Column, size: int, words: int) -> Column:
+    """(fp, node, n) of a text's set of distinct shingles: its fingerprint, a 64-bit hash of
+    the set, and its size."""
+
+    def all_of(texts: list[str]) -> list[dict]:
+        sets = (np.unique(_hashes_of(t, size)) for t in texts)
+        return [{"fp": _voted(s, words), "node": _digest(s), "n": len(s)} for s in sets]
+
+    return per_text(lambda: all_of, "struct<fp:array<bigint>,node:bigint,n:int>")(text)
+
+
+def shingle_set(text: Column, size: int) -> Column:
+    """The distinct shingle hashes of a text, sorted as unsigned numbers."""
+
+    def all_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.unique(_hashes_of(t, size)).view("<i8") for t in texts]
 
     return per_text(lambda: all_of, "array<bigint>")(text)
 
@@ -288,6 +323,150 @@ def link_fingerprints(
     )
 
 
+class SetJoin:
+    """Unites sets whose Jaccard similarity is ``least`` or more.
+
+    Set ``i`` holds ``values[ends[i] - sizes[i] : ends[i]]``. Pairs that differ by more than
+    ``budget`` bits are no candidates; pairs already in one tree are not compared.
+    """
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray, full: np.ndarray, least: float, budget: int) -> None:
+        vocabulary, self.ids = np.unique(values, return_inverse=True)
+        self.sizes, self.ends, self.full = sizes, np.cumsum(sizes), full
+        self.least, self.budget = least, budget
+        self.marked = np.zeros(len(vocabulary), bool)
+        self.root = np.arange(len(sizes))
+
+    def _of(self, i: int) -> np.ndarray:
+        return self.ids[self.ends[i] - self.sizes[i] : self.ends[i]]
+
+    def _candidates(self, i: int, others: np.ndarray) -> np.ndarray:
+        others = others[self.root[others] != self.root[i]]
+        low, high = np.minimum(self.sizes[i], self.sizes[others]), np.maximum(self.sizes[i], self.sizes[others])
+        others = others[low >= self.least * high * (1 - 1e-9)]
+        differing = np.bitwise_count(self.full[others] ^ self.full[i]).sum(axis=1, dtype=np.int64)
+        return others[differing <= self.budget]
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        others = self._candidates(i, others)
+        if not len(others):
+            return
+        self.marked[self._of(i)] = True
+        at, to = 0, 1
+        while at < len(others):  # a few sets first: one of them may stand for the rest
+            some = others[at:to]
+            some = some[self.root[some] != self.root[i]]
+            if len(some):
+                starts = np.cumsum(self.sizes[some]) - self.sizes[some]
+                shared = np.add.reduceat(self.marked[np.concatenate([self._of(k) for k in some])].astype(np.int64), starts)
+                near = some[shared / (self.sizes[i] + self.sizes[some] - shared) >= self.least]
+                if len(near):
+                    trees = np.unique(self.root[np.append(near, i)])
+                    self.root[np.isin(self.root, trees)] = trees[0]
+            at, to = to, to + min(2 * (to - at), 256)
+        self.marked[self._of(i)] = False
+
+
+def _check_cells(least: float, budget: int):
+    def check(key: tuple, table: pa.Table) -> pa.Table:
+        _, first, second = (k.as_py() for k in key)
+        table = table.combine_chunks().sort_by([("root", "ascending"), ("node", "ascending")])
+        roots, parts = table.column("root").to_numpy(), table.column("part").to_numpy()
+        nodes, lists = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        values, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+        full = table.column("fp").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+        full = np.ascontiguousarray(full, "<i8").view("<u8")
+        cuts = np.flatnonzero(np.diff(roots, prepend=roots[0] - 1 if len(roots) else 0))
+        a, b = [], []
+        for low, high in zip(cuts, [*cuts[1:], len(nodes)], strict=True):
+            joined = SetJoin(
+                values[ends[low] - sizes[low] : ends[high - 1]], sizes[low:high], full[low:high], least, budget
+            )
+            own, left = np.arange(high - low), np.flatnonzero(parts[low:high] == first)
+            right = np.flatnonzero(parts[low:high] == second)
+            for nth, i in enumerate(left):
+                joined.join(i, left[nth + 1 :] if first == second else right)
+            linked = np.flatnonzero(joined.root != own)
+            a.append(nodes[low:high][linked])
+            b.append(nodes[low:high][joined.root[linked]])
+        none = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return check
+
+
+def similar_sets(
+    members: DataFrame, *, least: float, budget: int, cell: int = SETS_CELL, buckets: int | None = None
+) -> DataFrame:
+    """Edges (a, b) that connect all pairs of one candidate class whose sets have a Jaccard
+    similarity of ``least`` or more and fingerprints within ``budget`` bits.
+
+    ``members`` holds (node, root, fp, n, shingles): ``root`` names the candidate class. A
+    cell has many small classes, or two parts of a class of more than ``cell`` shingles.
+    """
+    spark = members.sparkSession
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = members.agg(F.sum("n")).first()[0] or 0
+    buckets = max(buckets, -(-total // cell))
+    parts = (
+        members.groupBy("root").agg(F.sum("n").alias("total")).filter(F.col("total") > cell)
+        .select("root", F.ceil(F.col("total") / cell).cast("int").alias("parts"))
+    )
+    met = members.join(parts, "root", "left")
+    count = F.coalesce("parts", F.lit(1))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node"), count).cast("int"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
+    bucket = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root"))
+    cells = met.select(
+        bucket.alias("bucket"), F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"),
+        "root", "node", "fp", "part", "shingles",
+    )
+    return cells.groupBy("bucket", "i", "j").applyInArrow(_check_cells(least, budget), "a bigint, b bigint")
+
+
+def similar_documents(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = LONG_SHINGLE,
+    words: int = LONG_WORDS,
+    least: float = LONG_LEAST,
+    bands: tuple = LONG_BANDS,
+    budget: int = LONG_BUDGET,
+    **links,
+) -> DataFrame:
+    """(doc_id, component_id) per row: classes of texts connected by pairs whose sets of
+    shingles have a Jaccard similarity of ``least`` or more.
+
+    SimHash links only name candidates: they connect candidate classes, within which the
+    sets of distinct texts are compared before two of them are united.
+    """
+    key = F.xxhash64(F.col(text).cast("string"))
+    marked = docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), sketch(F.col(text), size, words).alias("s"))
+    marked = written(marked.select("doc_id", "key", "s.*"), "fingerprints")
+    groups = written(
+        marked.groupBy("node").agg(
+            F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key")
+        ),
+        "fingerprints",
+    )
+    edges = link_fingerprints(groups.select("node", "fp"), bands=bands, budget=budget, **links)
+    members = written(groups.join(components(edges), "node").select("node", "root", "fp", "n", "key"), "candidates")
+    texts = docs.select(key.alias("key"), F.col(text).cast("string").alias("text"))
+    texts = texts.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = texts.select("key", shingle_set(F.col("text"), size).alias("shingles"))
+    members = written(members.join(sets, "key").drop("key"), "shingles")
+    classes = components(similar_sets(members, least=least, budget=budget))
+    named = groups.select("node", "least").join(classes, "node", "left")
+    names = named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "root", "left").select(
+        "node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -324,9 +503,14 @@ def near_duplicates(
     return marked.join(named, "node").select("doc_id", "fp", "component_id", "copies")
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Keep one row per class: the one whose id names it. Rows without id all stay."""
-    classes = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+def drop_near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", classes=near_duplicates, **options
+) -> DataFrame:
+    """Keep one row per class: the one whose id names it. Rows without id all stay.
+
+    ``classes`` gives them: ``near_duplicates`` or ``similar_documents``.
+    """
+    classes = classes(docs, doc_id=doc_id, text=text, **options)
     keep = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
     one = docs.join(keep, doc_id, "left_semi").select("*", nth.alias("_nth")).filter("_nth = 1").drop("_nth")
