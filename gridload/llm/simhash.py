@@ -8,7 +8,9 @@ Longer fingerprints (``words`` of 64 bits, the further ones mixed from the same
 estimate similarity: a share ``d`` of differing bits means a cosine of ``cos(pi d)``.
 The stage of the corpus pipeline (``similar_documents``) uses 256 bits over distinct
 five-word shingles. There links only name candidates: within the classes that they connect,
-the sets of shingles are compared before two texts are united.
+the sets of shingles are compared before two texts are united. With 55 bits and bands in
+all four words about 99 % of pairs at a similarity of 0.8 are candidates; sets of ten
+shingles or less are also candidates by exact parts.
 
 Self-join. Only distinct fingerprints take part, so exact copies cost nothing. A pair
 links if it differs in at most ``budget`` bits and in at most one bit of some band. The
@@ -47,9 +49,11 @@ BITS = 64
 #: (word, first bit, bits): a pair within BUDGET has a band with one differing bit at most
 BANDS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
 #: shingle, words, budget and bands for similarities of 0.8 and more
-LONG_SHINGLE, LONG_WORDS, LONG_BUDGET = 5, 4, 42
-LONG_BANDS = tuple((k // 4, k % 4 * 16, 16) for k in range(8))
+LONG_SHINGLE, LONG_WORDS, LONG_BUDGET = 5, 4, 55
+LONG_BANDS = tuple((k // 4, k % 4 * 16, 16) for k in range(16))
 LONG_LEAST = 0.8
+#: sets up to this size are too coarse for SimHash and are candidates if they differ by an element
+TINY = 10
 #: shingles of the sets that one cell compares
 SETS_CELL = 1 << 20
 #: fingerprints aimed at per prefix, and the most that one cell takes from a prefix
@@ -116,14 +120,18 @@ def _digest(every: np.ndarray) -> int:
 
 
 def sketch(text: Column, size: int, words: int) -> Column:
-    """(fp, node, n) of a text's set of distinct shingles: its fingerprint, a 64-bit hash of
-    the set, and its size."""
+    """(fp, node, n, parts) of a text's set of distinct shingles: its fingerprint, a 64-bit
+    hash of the set, its size, and for sets of ``TINY`` or less the hashes of the set
+    without one element."""
+
+    def one(every: np.ndarray) -> dict:
+        parts = [_digest(np.delete(every, k)) for k in range(len(every))] if 1 < len(every) <= TINY else []
+        return {"fp": _voted(every, words), "node": _digest(every), "n": len(every), "parts": parts}
 
     def all_of(texts: list[str]) -> list[dict]:
-        sets = (np.unique(_hashes_of(t, size)) for t in texts)
-        return [{"fp": _voted(s, words), "node": _digest(s), "n": len(s)} for s in sets]
+        return [one(np.unique(_hashes_of(t, size))) for t in texts]
 
-    return per_text(lambda: all_of, "struct<fp:array<bigint>,node:bigint,n:int>")(text)
+    return per_text(lambda: all_of, "struct<fp:array<bigint>,node:bigint,n:int,parts:array<bigint>>")(text)
 
 
 def shingle_set(text: Column, size: int) -> Column:
@@ -327,7 +335,7 @@ class SetJoin:
     """Unites sets whose Jaccard similarity is ``least`` or more.
 
     Set ``i`` holds ``values[ends[i] - sizes[i] : ends[i]]``. Pairs that differ by more than
-    ``budget`` bits are no candidates; pairs already in one tree are not compared.
+    ``budget`` bits are no candidates, unless both are tiny; pairs already in one tree are not compared.
     """
 
     def __init__(self, values: np.ndarray, sizes: np.ndarray, full: np.ndarray, least: float, budget: int) -> None:
@@ -345,7 +353,8 @@ class SetJoin:
         low, high = np.minimum(self.sizes[i], self.sizes[others]), np.maximum(self.sizes[i], self.sizes[others])
         others = others[low >= self.least * high * (1 - 1e-9)]
         differing = np.bitwise_count(self.full[others] ^ self.full[i]).sum(axis=1, dtype=np.int64)
-        return others[differing <= self.budget]
+        tiny = np.maximum(self.sizes[others], self.sizes[i]) <= TINY
+        return others[(differing <= self.budget) | tiny]
 
     def join(self, i: int, others: np.ndarray) -> None:
         others = self._candidates(i, others)
@@ -448,11 +457,18 @@ def similar_documents(
     marked = written(marked.select("doc_id", "key", "s.*"), "fingerprints")
     groups = written(
         marked.groupBy("node").agg(
-            F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key")
+            F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("doc_id").alias("least"), F.min("key").alias("key")
         ),
         "fingerprints",
     )
     edges = link_fingerprints(groups.select("node", "fp"), bands=bands, budget=budget, **links)
+    tiny = groups.select(F.col("node").alias("a"), F.explode("parts").alias("b"))
+    # the same part of two sets links them, a set that is the part of another as well
+    least_of = tiny.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("sets"))
+    least_of = least_of.join(groups.select(F.col("node").alias("b"), F.col("node").alias("whole")), "b", "left")
+    least_of = least_of.filter((F.col("sets") > 1) | F.col("whole").isNotNull())
+    tiny = tiny.join(least_of.select("b", F.coalesce("whole", "m").alias("m")), "b").select("a", F.col("m").alias("b"))
+    edges = edges.unionByName(tiny)
     members = written(groups.join(components(edges), "node").select("node", "root", "fp", "n", "key"), "candidates")
     texts = docs.select(key.alias("key"), F.col(text).cast("string").alias("text"))
     texts = texts.join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))

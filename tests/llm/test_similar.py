@@ -60,6 +60,21 @@ def test_documents_below_the_limit_stay(spark):
     assert all(i + 1 in kept for i in below)
 
 
+def test_versions_of_one_template(spark):
+    rng = random.Random(5)
+    texts, base = {}, " ".join(word(rng) for _ in range(150))
+    for i in range(120):  # drifting versions: some chains hold, others break
+        texts[i] = base if not i else edited(rng, texts[rng.randrange(max(0, i - 8), i)], rng.choice((2, 3, 5)))
+    texts[120], texts[121] = texts[7].upper(), texts[7]
+    want = brute_classes(texts)
+    assert 3 < len(set(want.values())) < 110
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == want
+    kept = [r.doc_id for r in cp.dedup_documents(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("cell", [1 << 20, 900])
 def test_cells_and_parts_give_the_same_classes(spark, cell):
     rng = random.Random(6)
@@ -78,3 +93,25 @@ def test_cells_and_parts_give_the_same_classes(spark, cell):
     edges = simhash.similar_sets(members, least=0.8, budget=256, cell=cell)
     got = {r.node: r.root for r in graph.components(edges).collect()}
     assert {i: got.get(i, i) for i in texts} == want
+
+
+@pytest.mark.parametrize("words,edits", [(9, None), (10, None), (85, None), (184, 4), (364, 8)])
+def test_pairs_at_the_limit_are_found(spark, words, edits):
+    """Pairs at a similarity of 0.80: words changed apart from each other, or an end cut off."""
+    rng = random.Random(words)
+    texts = {}
+    for i in range(0, 1000, 2):
+        found = [word(rng) for _ in range(words)]
+        texts[i] = " ".join(found)
+        if edits is None:
+            texts[i + 1] = " ".join(found[: -((words - 4) // 5 or 1)])
+        else:
+            for k in rng.sample(range(8, words - 8, 10), edits):
+                found[k] = word(rng)
+            texts[i + 1] = " ".join(found)
+    similarity = {round(jaccard(texts[i], texts[i + 1]), 3) for i in range(0, 1000, 2)}
+    assert len(similarity) == 1 and 0.8 <= similarity.pop() < 0.84
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    found = sum(got[i + 1] == i for i in range(0, 1000, 2))
+    print("found", words, edits, found)
+    assert found >= (500 if words <= 16 else 495) and all(got[i] == i for i in range(0, 1000, 2))
