@@ -29,8 +29,8 @@ from gridload.session import durable, new_path
 
 FEATURES = list(ANALYSIS_FEATURES)
 LABEL = "stress_hour"
-#: the library's default is 50; every trial draws all five dimensions
-TRIALS = 5
+#: the library's default; every trial draws all five dimensions
+TRIALS = 50
 GLOBAL = SeriesLayout(keys=(), span_hours=24 * 366)
 
 

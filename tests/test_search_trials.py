@@ -1,0 +1,27 @@
+from __future__ import annotations
+
+from gridload.learn.tuning import Search
+from gridload.plans import learning_queries
+
+
+def test_registered_search_runs_the_default_trials(monkeypatch):
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def tune(self, *args):
+        asked.append(self.trials)
+        raise Stop
+
+    class Rows:
+        def filter(self, _):
+            return self
+
+    monkeypatch.setattr(learning_queries, "training_rows", lambda spark, sf_dir: Rows())
+    monkeypatch.setattr(Search, "tune", tune)
+    try:
+        learning_queries.hyperparameter_search(None, "")
+    except Stop:
+        pass
+    assert asked == [Search().trials] == [50]
