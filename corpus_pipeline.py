@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table. All but the last return the
 columns of ``documents``; ``run`` writes each stage's result as Parquet to the shared
-folder and hands it to the next. Rows without text, or empty, are clean and stay.
+folder and hands it to the next. Rows without text, or without a
+word, are clean; near-duplicates takes them as copies of each other and keeps one of them all.
 
 * toxicity: rows scored 0.7 or more go. Labels come from ``labels``.
 * line dedup: lines in later occurrences of repeated three-line windows are cut out; a
