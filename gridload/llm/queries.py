@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.llm import chat, decontaminate, language, licences, lines, mixing, neighbours, secrets, simhash, toxicity
+from gridload.llm import (
+    chat,
+    decontaminate,
+    language,
+    licences,
+    lines,
+    merkle,
+    mixing,
+    neighbours,
+    secrets,
+    simhash,
+    toxicity,
+)
 from gridload.llm.common import held_out
 from gridload.session import configure
 
@@ -353,3 +365,70 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), "doc_id")
     return licences.scan(docs, path, file_share=0.1).withColumn("cosine", F.round("cosine", 6))
+
+
+def _told(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || {column} END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_told(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+        lambda a, b: list_reduce(range(0, 8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+        xor(a, b)), 4294967295), 4294967295)"""
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEVEL = "sha256(string_agg(d, '' ORDER BY i)), (n + 15) // 16"
+_SIBLINGS = """coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS lft,
+        coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS rgt"""
+
+
+@query(
+    "op13_merkle",
+    f"""
+    WITH RECURSIVE texts AS (
+        SELECT *, {_LOWERED} AS lowered, {_CRC} % 5 = 0 AS tampered,
+               CASE WHEN source IS NULL THEN '-' ELSE ':' || source END AS tree FROM documents),
+    leaves AS (SELECT doc_id, tree, {_leaf_sql("text")} AS leaf, {_leaf_sql("lowered")} AS other, tampered FROM texts),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+    nodes AS (
+        SELECT tree, 0 AS l, i, leaf AS d, n FROM numbered
+        UNION ALL SELECT tree, l + 1, i // 16, {_LEVEL} FROM nodes WHERE n > 1 GROUP BY tree, l, i // 16, n),
+    subroots AS (
+        SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops AS (
+        SELECT 0 AS l, i, d, n FROM subroots
+        UNION ALL SELECT l + 1, i // 16, {_LEVEL} FROM tops WHERE n > 1 GROUP BY l, i // 16, n),
+    sides AS (
+        SELECT a.tree, a.l, a.i, {_SIBLINGS} FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.l = b.l
+        AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY a.tree, a.l, a.i),
+    top_sides AS (
+        SELECT a.l, a.i, {_SIBLINGS} FROM tops a JOIN tops b ON a.l = b.l AND a.i // 16 = b.i // 16
+        WHERE a.n > 1 GROUP BY a.l, a.i),
+    climbed AS (
+        SELECT doc_id, tree, 0 AS l, i, i AS at, n, CASE WHEN tampered THEN other ELSE leaf END AS d, '' AS proof FROM numbered
+        UNION ALL SELECT c.doc_id, c.tree, c.l + 1, c.i // 16, c.at, (c.n + 15) // 16, sha256(lft || c.d || rgt), proof || lft || rgt
+        FROM climbed c JOIN sides s ON s.tree = c.tree AND s.l = c.l AND s.i = c.i),
+    ended AS (
+        SELECT c.doc_id, c.tree, c.at, 0 AS l, s.i, s.n, c.d, c.proof FROM climbed c JOIN subroots s USING (tree) WHERE c.n = 1
+        UNION ALL SELECT c.doc_id, c.tree, c.at, c.l + 1, c.i // 16, (c.n + 15) // 16, sha256(lft || c.d || rgt), proof || lft || rgt
+        FROM ended c JOIN top_sides s ON s.l = c.l AND s.i = c.i)
+    SELECT m.doc_id, m.leaf, s.d AS subroot, r.d AS root, sha256(e.proof) AS proof_sha256, e.d AS folded_root,
+           e.d = r.d AS verified
+    FROM numbered m JOIN ended e ON e.tree = m.tree AND e.at = m.i AND e.n = 1
+    JOIN subroots s ON s.tree = m.tree, (SELECT d FROM tops WHERE n = 1) r
+    """,
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(tampered, lowered).otherwise(F.col("text"))
+    found = merkle.manifest(docs, changed={"text": text})
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
