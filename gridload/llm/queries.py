@@ -16,6 +16,7 @@ from gridload.llm import (
     merkle,
     mixing,
     neighbours,
+    repair,
     secrets,
     simhash,
     toxicity,
@@ -432,3 +433,19 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("op12_repair")
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    spaced = repair.spaced(turns, "conv_id", "turn", "role", "text")
+    edits, counts = repair.repair(repair.damage(spaced, repair.damage_key(spaced)))
+    every = turns.select("conv_id").distinct().withColumn("group", repair.group_of("conv_id"))
+    found = every.join(counts, "group", "left").join(repair.told(edits), "group", "left")
+    zero = F.lit(0).cast("bigint")
+    return found.select(
+        "conv_id",
+        *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
