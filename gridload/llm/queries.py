@@ -14,6 +14,7 @@ from gridload.llm import (
     licences,
     lines,
     merkle,
+    metric_join,
     mixing,
     neighbours,
     repair,
@@ -449,3 +450,8 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query("op11_jaccard")
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
