@@ -17,13 +17,14 @@ Within a region distances to pivots are exact, and the triangle inequality does
 document goes to the cell of its nearest pivot and, as a boundary document, to every cell whose
 pivot is at most 0.4 farther. Documents linked to pivots that are joined already need no
 comparison with each other, only with the others whose distance to the cell's pivot is within
-0.2 of theirs. Cells are joined in the same way, recursively, until all is joined or few documents are left,
-which are compared one by one. A pivot is compared with its whole region, so it leaves the recursion.
+0.2 of theirs. Cells are joined in the same way, recursively, until all is joined or few documents are left.
+These, and regions whose cells overlap too much to be a gain, are compared one by one, less the pairs that
+the distances to the pivots rule out. A pivot is compared with its whole region, so it leaves the recursion.
 
 Where it runs. Small regions are packed into tasks of about ``cell`` shingles. Larger ones take a
 round of the same step as Spark jobs: parts of bounded size meet the region's
-pivots, and what is left makes new regions. After ``rounds`` rounds, parts that are still too large
-meet in pairs of parts. Edges are a forest per task, classes are its connected components.
+pivots, and what is left makes new regions. Where cells are no gain, and after ``rounds`` rounds, the parts
+of a region that is still too large meet in pairs. Edges are a forest per task, classes are its connected components.
 
 Defined results: null and blank texts are empty sets and link with nothing; copies have one
 set and are compared once; a repeated row gets the class of its like; rows without id get the
@@ -123,25 +124,35 @@ class Sets:
             to = np.array([self.distances(p, members) for p in pivots])
             rest = ~np.isin(members, pivots)
             members, to = members[rest], to[:, rest]
-            for nth in range(PIVOTS):
-                inside = cell_of(to, nth)
-                cell, near = members[inside], to[:, inside]
-                if not len(cell):
-                    continue
-                trees, counts = np.unique(self.root[cell], return_counts=True)
-                other = self.root[cell] != trees[np.argmax(counts)]
-                if not other.any():
-                    continue
-                low, high = near[nth, other].min(), near[nth, other].max()
-                reach = RADIUS + _SLACK
-                kept = other | ((near[nth] >= low - reach) & (near[nth] <= high + reach))
-                cell, near, other = cell[kept], near[:, kept], other[kept]
-                if len(cell) <= 0.8 * len(members):
-                    waiting.append(cell)
-                    continue
-                for i in np.flatnonzero(other):  # the pivots did not tell these apart
-                    close = (np.abs(near - near[:, i : i + 1]) <= reach).all(axis=0)
-                    self.compare(cell[i], cell[close])
+            cells = [self._cell(members, to, nth) for nth in range(PIVOTS)]
+            # cells that overlap too much are no gain
+            if 2 * sum(len(c) ** 2 for c in cells) <= len(members) ** 2:
+                waiting += cells
+            else:
+                self._one_by_one(members, to)
+
+    def _other(self, members: np.ndarray) -> np.ndarray:
+        """Who is not in the largest tree."""
+        trees, counts = np.unique(self.root[members], return_counts=True)
+        return self.root[members] != trees[np.argmax(counts)]
+
+    def _cell(self, members: np.ndarray, to: np.ndarray, nth: int) -> np.ndarray:
+        inside = cell_of(to, nth)
+        cell, near = members[inside], to[nth, inside]
+        other = self._other(cell) if len(cell) else np.zeros(0, bool)
+        if not other.any():
+            return cell[:0]
+        low, high = near[other].min() - RADIUS - _SLACK, near[other].max() + RADIUS + _SLACK
+        return cell[other | ((near >= low) & (near <= high))]
+
+    def _one_by_one(self, members: np.ndarray, to: np.ndarray) -> None:
+        if not len(members):
+            return
+        other = self._other(members)
+        late = np.cumsum(other)
+        for i in np.flatnonzero(other):
+            close = (np.abs(to - to[:, i : i + 1]) <= RADIUS + _SLACK).all(axis=0)
+            self.compare(members[i], members[close & (~other | (late > late[i]))])
 
 
 def cell_of(to: np.ndarray, nth: int) -> np.ndarray:
@@ -303,8 +314,9 @@ def _main(masks: pa.Array) -> pa.Array:
 _main.__annotations__ = {"masks": pa.Array, "return": pa.Array}
 
 
-def _split(star: DataFrame) -> DataFrame:
-    """(region, node, n): the cells of large regions, without what is joined already."""
+def _split(star: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, node, n), twice, of what large regions have left to compare: their cells where
+    these are a gain, and whole where they overlap too much."""
     bits = [F.when(F.get("links", F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(PIVOTS)]
     mask = bits[0]
     for bit in bits[1:]:
@@ -318,11 +330,20 @@ def _split(star: DataFrame) -> DataFrame:
     nearest = F.array_min("to") + 2 * RADIUS + _SLACK
     cells = seen.select("region", "node", "n", "other", nearest.alias("most"), F.posexplode("to").alias("nth", "d"))
     cells = cells.filter("d <= most")
-    cells = cells.select(F.xxhash64("region", "nth").alias("region"), "node", "n", "other", "d")
-    limits = cells.filter("other").groupBy("region").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    limits = cells.filter("other").groupBy("region", "nth").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     reach = RADIUS + _SLACK
     within = F.col("other") | F.col("d").between(F.col("low") - reach, F.col("high") + reach)
-    return cells.join(limits, "region").filter(within).select("region", "node", "n")
+    cells = written(cells.join(limits, ["region", "nth"]).filter(within).select("region", "nth", "node", "n"), "cells")
+    left = cells.select("region", "node", "n").distinct()
+    squares = cells.groupBy("region", "nth").agg(F.sum("n").cast("double").alias("w")).groupBy("region")
+    squares = squares.agg(F.sum(F.col("w") * F.col("w")).alias("cost"))
+    weights = left.groupBy("region").agg(F.sum("n").cast("double").alias("w"))
+    gain = written(
+        squares.join(weights, "region").select("region", (2 * F.col("cost") <= F.col("w") * F.col("w")).alias("gain")), "gain"
+    )
+    cut = cells.join(gain.filter("gain").select("region"), "region", "left_semi")
+    whole = left.join(gain.filter("not gain").select("region"), "region", "left_semi")
+    return cut.select(F.xxhash64("region", "nth").alias("region"), "node", "n"), whole
 
 
 def _in_pairs(members: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -340,22 +361,34 @@ def join_sets(sets: DataFrame, *, cell: int = CELL, rounds: int = ROUNDS) -> Dat
     """Edges (a, b) between nodes that connect all linked sets of (node, n, shingles)."""
     members = written(regions_of(sets), "regions")
     edges = []
+
+    def finish(members: DataFrame) -> None:
+        """Regions that are cut no further."""
+        parts = written(_sizes(members, cell // 2), "parts")
+        small = members.join(parts, "region", "left_anti")
+        edges.append(written(_in_small(_with_sets(small, sets), cell), "links"))
+        if parts.take(1):
+            edges.append(_in_pairs(members, sets, parts))
+
     for _ in range(rounds):
         parts = written(_sizes(members, cell), "parts")
         small = members.join(parts, "region", "left_anti")
         edges.append(written(_in_small(_with_sets(small, sets), cell), "links"))
-        members = members.join(parts.select("region"), "region", "left_semi")
         if not parts.take(1):
             break
+        members = members.join(parts.select("region"), "region", "left_semi")
         star = written(_star(members, sets, parts), "distances")
         near = star.select("node", F.explode(F.arrays_zip("links", "pivots")).alias("p")).filter("p.links")
         edges.append(near.select(F.col("node").alias("a"), F.col("p.pivots").alias("b")).filter("a <> b"))
-        members = written(_split(star), "regions")
+        cut, whole = _split(star)
+        whole = written(whole, "regions")
+        if whole.take(1):
+            finish(whole)
+        members = written(cut, "regions")
+        if not members.take(1):
+            break
     else:
-        parts = written(_sizes(members, cell // 2), "parts")
-        small = members.join(parts, "region", "left_anti")
-        edges.append(written(_in_small(_with_sets(small, sets), cell), "links"))
-        edges.append(_in_pairs(members, sets, parts))
+        finish(members)
     found = edges[0]
     for some in edges[1:]:
         found = found.unionByName(some)
