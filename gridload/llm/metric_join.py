@@ -7,10 +7,11 @@ link at a Jaccard similarity of 0.8 or more, that is at a distance of 0.2 or les
 
 Pivots and regions. Almost all pairs of documents lie at a distance of 1, where no pivot can
 tell them apart, so pivots drawn at random would copy every document to every region.
-Instead the shingles draw them: linked documents share one of the first fifth (and one more) of
-their shingles in any common order, and the least document that holds such a shingle there is the pivot for it.
-A document belongs to the region of each of its pivots; linked documents meet in one at least.
-The order puts rare shingles first: shingles are counted in 2**20 buckets by hash over all documents,
+Instead the shingles draw them: of the first three tenths of their shingles in any common order
+linked documents share a tenth, and the least document that holds such a shingle there is the pivot for it.
+A document belongs to the regions of its pivots, less those with the fewest of its shingles, a twenty-fifth in all
+(a window of mass: partners cannot differ by that much there); linked documents meet in one at least.
+The order puts rare shingles first: shingles are counted in 2**18 buckets by hash over all documents,
 a table of one byte each. It is a matter of speed only: any order gives the same links.
 
 Within a region distances to pivots are exact, and the triangle inequality does the rest. Each
@@ -21,7 +22,9 @@ comparison with each other, only with the others whose distance to the cell's pi
 These, and regions whose cells overlap too much to be a gain, are compared one by one, less the pairs that
 the distances to the pivots rule out. A pivot is compared with its whole region, so it leaves the recursion.
 
-Where it runs. Small regions are packed into tasks of about ``cell`` shingles. Larger ones take a
+Where it runs. Sets are several times the size of the texts, so they never travel: first shingles do,
+packed (six bytes of the hash, where a collision can only add a candidate), dealt by hash, and then the texts
+of documents that have a region; tasks hash these again. Small regions are packed into tasks of about ``cell`` shingles. Larger ones take a
 round of the same step as Spark jobs: parts of bounded size meet the region's
 pivots, and what is left makes new regions. Where cells are no gain, and after ``rounds`` rounds, the parts
 of a region that is still too large meet in pairs. Edges are a forest per task, classes are its connected components.
@@ -40,9 +43,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridload.llm.common import per_text
 from gridload.llm.graph import components
-from gridload.llm.simhash import shingle_set
-from gridload.session import written
+from gridload.llm.simhash import _digest, _hashes_of
+from gridload.session import discard, written
 
 SIZE = 5
 #: linked where 100 * intersection >= 80 * union
@@ -56,18 +60,15 @@ PIVOTS, FEW = 8, 24
 #: steps that run as Spark jobs before parts meet in pairs
 ROUNDS = 4
 #: buckets of the count of shingles
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
+#: bytes of a hash that travel, and first shingles of one part
+KEPT_BYTES, PART = 6, 1 << 22
 
 
 def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
 
 
-def prefix_size(n: Column) -> Column:
-    """How many of its first shingles a set of ``n`` shares one with each linked set."""
-    return n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1
-
-
 class Sets:
     """Sets of shingle numbers, their known links, and exact distances between them."""
 
@@ -160,67 +161,96 @@ def cell_of(to: np.ndarray, nth: int) -> np.ndarray:
     return to[nth] <= to.min(axis=0) + 2 * RADIUS + _SLACK
 
 
-def _sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    lists = table.column("shingles").combine_chunks()
-    return lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-
-
-def _join_cell(table: pa.Table) -> pa.Table:
-    """All regions of a task, one after the other."""
-    table = table.combine_chunks().sort_by([("region", "ascending"), ("node", "ascending")])
-    regions, nodes = table.column("region").to_numpy(), table.column("node").to_numpy()
-    values, sizes = _sets(table)
-    ends = np.cumsum(sizes)
-    cuts = [0, *(np.flatnonzero(np.diff(regions)) + 1).tolist(), len(nodes)]
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        if high - low < 2:
-            continue
-        sets = Sets(values[ends[low] - sizes[low] : ends[high - 1]], sizes[low:high])
-        sets.join(np.arange(high - low))
-        tied = np.flatnonzero(sets.root != np.arange(high - low))
-        a.append(nodes[low:high][tied])
-        b.append(nodes[low:high][sets.root[tied]])
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-
-def _distances(table: pa.Table, pivots: pa.Table) -> pa.Table:
-    """(node, to, links): distances of a part's documents to the region's pivots, in order."""
-    pivots = pivots.combine_chunks().sort_by([("nth", "ascending")])
-    table = table.combine_chunks()
-    both = [_sets(pivots), _sets(table)]
-    sets = Sets(np.concatenate([v for v, _ in both]), np.concatenate([s for _, s in both]))
-    count, others = len(pivots), np.arange(len(pivots), len(pivots) + len(table))
-    shared = np.array([sets.shared(p, others) for p in range(count)])
-    total = sets.sizes[:count, None] + sets.sizes[None, others]
-    to, links = 1 - shared / (total - shared), linked(shared, sets.sizes[:count, None], sets.sizes[None, others])
-    return pa.table(
-        {
-            "region": table.column("region"),
-            "node": table.column("node"),
-            "n": table.column("n"),
-            "to": pa.array(list(to.T), pa.list_(pa.float64())),
-            "links": pa.array(list(links.T), pa.list_(pa.bool_())),
-            "pivots": pa.array([pivots.column("node").to_pylist()] * len(table), pa.list_(pa.int64())),
-        }
-    )
+def _sets(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all shingles, sizes) of the texts of a table."""
+    found = [np.unique(_hashes_of(text, size)) for text in table.column("text").to_pylist()]
+    return np.concatenate([np.empty(0, "<u8"), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+
+def _join_cell(size: int):
+    def join(table: pa.Table) -> pa.Table:
+        """All regions of a task, one after the other."""
+        table = table.combine_chunks().sort_by([("region", "ascending"), ("node", "ascending")])
+        regions, nodes = table.column("region").to_numpy(), table.column("node").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(regions)) + 1).tolist(), len(nodes)]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if high - low < 2:
+                continue
+            sets = Sets(*_sets(table.slice(low, high - low), size))
+            sets.join(np.arange(high - low))
+            tied = np.flatnonzero(sets.root != np.arange(high - low))
+            a.append(nodes[low:high][tied])
+            b.append(nodes[low:high][sets.root[tied]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return join
+
+
+def _distances(size: int):
+    def measure(table: pa.Table, pivots: pa.Table) -> pa.Table:
+        """(node, to, links): distances of a part's documents to the region's pivots, in order."""
+        pivots = pivots.combine_chunks().sort_by([("nth", "ascending")])
+        table = table.combine_chunks()
+        both = [_sets(pivots, size), _sets(table, size)]
+        sets = Sets(np.concatenate([v for v, _ in both]), np.concatenate([s for _, s in both]))
+        count, others = len(pivots), np.arange(len(pivots), len(pivots) + len(table))
+        shared = np.array([sets.shared(p, others) for p in range(count)])
+        total = sets.sizes[:count, None] + sets.sizes[None, others]
+        to, links = 1 - shared / (total - shared), linked(shared, sets.sizes[:count, None], sets.sizes[None, others])
+        return pa.table(
+            {
+                "region": table.column("region"),
+                "node": table.column("node"),
+                "n": table.column("n"),
+                "to": pa.array(list(to.T), pa.list_(pa.float64())),
+                "links": pa.array(list(links.T), pa.list_(pa.bool_())),
+                "pivots": pa.array([pivots.column("node").to_pylist()] * len(table), pa.list_(pa.int64())),
+            }
+        )
+
+    return measure
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def common(n: int) -> int:
+    """How many first shingles linked sets, the smaller of ``n``, share at least."""
+    return max(1, n // 10)
+
 
+def _most(n: int) -> int:
+    """Size of the beginning of a set of ``n`` of which a linked set shares ``common``."""
+    return n - -(-n * NUMERATOR // DENOMINATOR) + common(n)
 
-def document_sets(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """(doc_id, node, n, shingles): a document's set, its name and its size."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), shingle_set(F.col(text), size).alias("shingles"))
-    return found.select("doc_id", F.xxhash64("shingles").alias("node"), F.size("shingles").alias("n"), "shingles")
 
+def spare(n: Column) -> Column:
+    """How many of its first shingles a set of ``n`` may do without: linked sets share
+    ``common`` of them, and each of the two leaves out less than half of that."""
+    least = F.ceil(n * NUMERATOR / DENOMINATOR)
+    return F.floor((F.greatest(F.lit(1), F.floor(least / 10)) - 1) / 2)
 
-def shingle_levels(sets: DataFrame) -> np.ndarray:
+
+def shingle_levels(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """A byte per bucket of shingles: the logarithm of its count, 0 if that is usual.
 
-    Counted are the shingles that come first by hash, over all documents.
+    Counted are the shingles that come first by hash, over all documents; a task adds its
+    own up.
     """
-    first = F.slice("shingles", 1, prefix_size(F.col("n")).cast("int"))
-    heads = sets.filter("n > 0").select(F.explode(first).alias("shingle"))
-    bucket = F.col("shingle").bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).alias("bucket")
-    counts = heads.groupBy(bucket).agg(F.count(F.lit(1)).alias("rows"))
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for some in batch.column(0).to_pylist():
+                every = np.unique(_hashes_of(some or "", size))
+                np.add.at(total, _bucket(every[: _most(len(every)) if len(every) else 0]), 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "rows"])
+
+    texts = docs.select(F.col(text).cast("string"))
+    counts = texts.mapInArrow(count, "bucket bigint, rows bigint").groupBy("bucket").agg(F.sum("rows").alias("rows"))
     counts = written(counts, "buckets")
     mean = (counts.agg(F.sum("rows")).first()[0] or 0) / BUCKETS
     # at most one row per bucket comes to the driver, and only those above the usual
@@ -230,38 +260,91 @@ def shingle_levels(sets: DataFrame) -> np.ndarray:
     return levels
 
 
-def first_shingles(levels: np.ndarray):
-    """Column function: a set's first shingles in the common order, rare ones before others."""
-
-    def run(lists: pa.Array) -> pa.Array:
-        ends = np.cumsum([0, *lists.value_lengths().to_numpy()])
-        values = lists.flatten().to_numpy()
-        found = []
-        for low, high in zip(ends, ends[1:], strict=False):
-            some, n = values[low:high], int(high - low)
-            most = n - -(-n * NUMERATOR // DENOMINATOR) + 1
-            level = levels[some & (BUCKETS - 1)]
-            # the set is sorted by hash: a stable sort by level keeps that order
-            found.append(some[np.argsort(level, kind="stable")[:most]] if level.any() else some[:most])
-        return pa.array(found, pa.list_(pa.int64()))
-
-    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<bigint>")
-
-
-def regions_of(sets: DataFrame) -> DataFrame:
-    """(region, node, n): the regions of every document that shares a first shingle."""
-    first = first_shingles(shingle_levels(sets))(F.col("shingles"))
-    heads = sets.filter("n > 0").select("node", "n", first.alias("first")).dropDuplicates(["node"])
-    heads = written(heads, "first").select("node", "n", F.explode("first").alias("shingle"))
-    owners = heads.groupBy("shingle").agg(F.min("node").alias("region"), F.max("node").alias("last"))
-    owners = owners.filter("region <> last").drop("last")
-    return heads.join(owners, "shingle").select("region", "node", "n").distinct()
-
-
-def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select("node", "shingles").dropDuplicates(["node"])
-    return members.join(one, "node")
+def mark(text: Column, levels: np.ndarray, size: int) -> Column:
+    """(node, n, first) of a text: the name of its set, its size, and its first shingles in the
+    common order, rare ones before others, six bytes each."""
+
+    def one(text: str) -> dict:
+        every = np.unique(_hashes_of(text, size))
+        if not len(every):
+            return {"node": 0, "n": 0, "first": b""}
+        level = levels[_bucket(every)]
+        # the set is sorted by hash: a stable sort by level keeps that order
+        first = (every[np.argsort(level, kind="stable")] if level.any() else every)[: _most(len(every))]
+        packed = first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
+        return {"node": _digest(every), "n": len(every), "first": packed}
+
+    def all_of(texts: list[str]) -> list[dict]:
+        return [one(t) for t in texts]
+
+    return per_text(lambda: all_of, "struct<node:bigint,n:int,first:binary>")(text)
+
+
+def _dealt(parts: int):
+    """Deal first shingles to ``parts`` by hash: per batch and part one row of packed arrays."""
+
+    def deal(batches):
+        for batch in batches:
+            nodes, which = np.unique(batch.column(0).to_numpy(), return_index=True)  # copies once
+            heads = batch.column(1).take(pa.array(which)).to_pylist()
+            counts = np.fromiter((len(h) // KEPT_BYTES for h in heads), np.int64, len(heads))
+            wide = np.zeros((counts.sum(), 8), np.uint8)
+            wide[:, :KEPT_BYTES] = np.frombuffer(b"".join(heads), np.uint8).reshape(-1, KEPT_BYTES)
+            hashes, of = wide.view("<u8").ravel(), np.repeat(np.arange(len(nodes)), counts)
+            part = (hashes % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            found, starts = np.unique(part[order], return_index=True)
+            rows = []
+            for p, some in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+                here, at = np.unique(of[some], return_inverse=True)
+                packed = wide[some, :KEPT_BYTES].tobytes()
+                rows.append((p, packed, at.astype("<u4").tobytes(), nodes[here].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "hashes", "at", "nodes"])
+
+    return deal
+
+
+def _owned(table: pa.Table) -> pa.Table:
+    """(region, node, times) of a part: the holders of a shingle belong to the least of them."""
+    hashes, nodes = [], []
+    for packed, at, held in zip(*(table.column(c).to_pylist() for c in ("hashes", "at", "nodes")), strict=True):
+        wide = np.zeros((len(packed) // KEPT_BYTES, 8), np.uint8)
+        wide[:, :KEPT_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEPT_BYTES)
+        hashes.append(wide.view("<u8").ravel())
+        nodes.append(np.frombuffer(held, "<i8")[np.frombuffer(at, "<u4")])
+    hash_, node = np.concatenate(hashes), np.concatenate(nodes)
+    order = np.lexsort((node, hash_))
+    hash_, node = hash_[order], node[order]
+    starts = np.flatnonzero(np.append(True, hash_[1:] != hash_[:-1]))
+    sizes = np.diff(np.append(starts, len(hash_)))
+    region = np.repeat(node[starts], sizes)
+    shared = np.repeat(node[starts] != node[starts + sizes - 1], sizes)
+    region, node = region[shared], node[shared]
+    order = np.lexsort((node, region))
+    region, node = region[order], node[order]
+    starts = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (node[1:] != node[:-1]))[: len(node)])
+    times = np.diff(np.append(starts, len(node)))
+    return pa.table({"region": region[starts], "node": node[starts], "times": times})
+
+
+def regions_of(marked: DataFrame) -> DataFrame:
+    """(region, node, n, key): the regions of every document that shares a first shingle."""
+    width = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = marked.agg(F.sum(F.octet_length("first"))).first()[0] or 0
+    parts = max(width, -(-total // (KEPT_BYTES * PART)))
+    packed = marked.filter("n > 0").select("node", "first").mapInArrow(
+        _dealt(parts), "part bigint, hashes binary, at binary, nodes binary"
+    )
+    owned = packed.groupBy("part").applyInArrow(_owned, "region bigint, node bigint, times bigint")
+    owned = owned.groupBy("region", "node").agg(F.sum("times").alias("times"))
+    one = marked.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"))
+    # a set has at most as many regions as first shingles
+    smallest = Window.partitionBy("node").orderBy("times", "region")
+    kept = owned.withColumn("upto", F.sum("times").over(smallest)).join(one, "node")
+    return kept.filter(F.col("upto") > spare(F.col("n"))).select("region", "node", "n", "key")
 
 
 def _sizes(members: DataFrame, cell: int) -> DataFrame:
@@ -270,29 +353,44 @@ def _sizes(members: DataFrame, cell: int) -> DataFrame:
     return sizes.select("region", F.ceil(F.col("weight") / cell).cast("int").alias("parts"))
 
 
-def _in_small(members: DataFrame, cell: int) -> DataFrame:
+class Texts:
+    """The texts of documents by the hash ``key``; copies count once."""
+
+    def __init__(self, docs: DataFrame, text: str, size: int) -> None:
+        whole = F.col(text).cast("string")
+        self.docs, self.size = docs.select(F.xxhash64(whole).alias("key"), whole.alias("text")), size
+
+    def of(self, members: DataFrame) -> DataFrame:
+        """``members`` (with ``key``) and their texts."""
+        keys = members.select("key").distinct()
+        one = self.docs.join(keys, "key", "left_semi").dropDuplicates(["key"])
+        return members.join(one, "key").drop("key")
+
+
+def _in_small(members: DataFrame, texts: Texts, cell: int) -> DataFrame:
     """Edges of regions that fit in a task; many share one."""
     width = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = members.agg(F.sum("n")).first()[0] or 0
     tasks = max(width, -(-total // cell))
     bucket = F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")
-    cells = members.select(bucket, "region", "node", "shingles")
-    return cells.groupBy("task").applyInArrow(_join_cell, "a bigint, b bigint")
+    cells = texts.of(members).select(bucket, "region", "node", "text")
+    return cells.groupBy("task").applyInArrow(_join_cell(texts.size), "a bigint, b bigint")
 
 
-def _star(members: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+def _star(members: DataFrame, texts: Texts, parts: DataFrame) -> DataFrame:
     """(region, node, n, to, links, pivots): documents of large regions and their pivots."""
     order = Window.partitionBy("region").orderBy(F.col("node") != F.col("region"), F.xxhash64("region", "node"))
     pivots = members.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PIVOTS)
-    pivots = _with_sets(pivots, sets).join(parts, "region")
+    pivots = texts.of(pivots).join(parts, "region")
     pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    met = _with_sets(members, sets).join(parts, "region").withColumn("part", part)
+    met = texts.of(members).join(parts, "region").withColumn("part", part)
     fresh = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])
-    left = fresh(met, "region", "part", "node", "n", "shingles").groupBy("region", "part")
-    right = fresh(pivots, "region", "part", "nth", "node", "shingles").groupBy("region", "part")
+    left = fresh(met, "region", "part", "node", "n", "text").groupBy("region", "part")
+    right = fresh(pivots, "region", "part", "nth", "node", "text").groupBy("region", "part")
     return left.cogroup(right).applyInArrow(
-        _distances, "region bigint, node bigint, n int, to array<double>, links array<boolean>, pivots array<bigint>"
+        _distances(texts.size),
+        "region bigint, node bigint, n int, to array<double>, links array<boolean>, pivots array<bigint>",
     )
 
 
@@ -346,41 +444,39 @@ def _split(star: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut.select(F.xxhash64("region", "nth").alias("region"), "node", "n"), whole
 
 
-def _in_pairs(members: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+def _in_pairs(members: DataFrame, texts: Texts, parts: DataFrame) -> DataFrame:
     """Edges of large regions whose parts meet in pairs."""
-    met = members.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    met = texts.of(members).join(parts, "region").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part <> with")
-    met = met.select(
-        "region", "node", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j")
+    cells = met.select(
+        "region", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "node", "text"
     )
-    cells = _with_sets(met, sets).select("region", "i", "j", "node", "shingles")
-    return cells.groupBy("region", "i", "j").applyInArrow(_join_cell, "a bigint, b bigint")
+    return cells.groupBy("region", "i", "j").applyInArrow(_join_cell(texts.size), "a bigint, b bigint")
 
 
-def join_sets(sets: DataFrame, *, cell: int = CELL, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (a, b) between nodes that connect all linked sets of (node, n, shingles)."""
-    members = written(regions_of(sets), "regions")
-    edges = []
+def join_regions(members: DataFrame, texts: Texts, *, cell: int = CELL, rounds: int = ROUNDS) -> DataFrame:
+    """Edges (a, b) between nodes that connect all linked sets of (region, node, n, key)."""
+    names, edges = members.select("node", "key").distinct(), []
 
     def finish(members: DataFrame) -> None:
         """Regions that are cut no further."""
         parts = written(_sizes(members, cell // 2), "parts")
         small = members.join(parts, "region", "left_anti")
-        edges.append(written(_in_small(_with_sets(small, sets), cell), "links"))
+        edges.append(written(_in_small(small, texts, cell), "links"))
         if parts.take(1):
-            edges.append(_in_pairs(members, sets, parts))
+            edges.append(_in_pairs(members, texts, parts))
 
     for _ in range(rounds):
         parts = written(_sizes(members, cell), "parts")
         small = members.join(parts, "region", "left_anti")
-        edges.append(written(_in_small(_with_sets(small, sets), cell), "links"))
+        edges.append(written(_in_small(small, texts, cell), "links"))
         if not parts.take(1):
             break
         members = members.join(parts.select("region"), "region", "left_semi")
-        star = written(_star(members, sets, parts), "distances")
+        star = written(_star(members, texts, parts), "distances")
         near = star.select("node", F.explode(F.arrays_zip("links", "pivots")).alias("p")).filter("p.links")
         edges.append(near.select(F.col("node").alias("a"), F.col("p.pivots").alias("b")).filter("a <> b"))
-        cut, whole = _split(star)
+        cut, whole = (some.join(names, "node") for some in _split(star))
         whole = written(whole, "regions")
         if whole.take(1):
             finish(whole)
@@ -398,9 +494,17 @@ def join_sets(sets: DataFrame, *, cell: int = CELL, rounds: int = ROUNDS) -> Dat
 def similar_documents(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, **options
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row. ``options`` are those of ``join_sets``."""
-    sets = written(document_sets(docs, doc_id, text, size), "sets")
-    classes = components(join_sets(sets, **options))
+    """(doc_id, n_shingles, component_id) per row. ``options`` are those of ``join_regions``."""
+    levels = shingle_levels(docs, text, size)
+    whole = F.col(text).cast("string")
+    marked = docs.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("key"), mark(whole, levels, size).alias("m")
+    )
+    marked = written(marked.select("doc_id", "key", "m.*"), "first")
+    members = written(regions_of(marked), "regions")
+    sets = written(marked.select("doc_id", "node", "n"), "sets")
+    discard(marked)
+    classes = components(join_regions(members, Texts(docs, text, size), **options))
     groups = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = groups.join(classes, "node", "left")
     names = named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("name"))
