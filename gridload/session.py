@@ -65,17 +65,36 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that no one reads any more."""
-    spark = df.sparkSession
-    root = shared_folder(spark).split(":")[-1].lstrip("/")
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        if root in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table that ``written`` made and no one reads any more."""
+    path = getattr(df, "_written_at", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def made() -> int:
+    """How many folders this process has made and not deleted, for ``discard_since``."""
+    return len(_MADE)
+
+
+def discard_since(spark: SparkSession, before: int, *keep: DataFrame) -> None:
+    """Delete the folders made since ``made()`` was ``before``, but those of ``keep``."""
+    kept = {getattr(df, "_written_at", None) for df in keep}
+    for path in _MADE[before:]:
+        if path not in kept:
+            _delete(spark, path)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -85,7 +104,5 @@ def durable(df: DataFrame) -> DataFrame:
 
 def clean_up(spark: SparkSession) -> None:
     """Delete every folder this process made under the shared folder."""
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(configuration).delete(path, True)
+    for path in list(_MADE):
+        _delete(spark, path)
