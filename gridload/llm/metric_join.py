@@ -363,8 +363,9 @@ class Texts:
     def of(self, members: DataFrame) -> DataFrame:
         """``members`` (with ``key``) and their texts."""
         keys = members.select("key").distinct()
-        one = self.docs.join(keys, "key", "left_semi").dropDuplicates(["key"])
-        return members.join(one, "key").drop("key")
+        # both joins are sorted merges at every size: they meet in one shuffle by key
+        one = self.docs.join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+        return members.hint("merge").join(one, "key").drop("key")
 
 
 def _in_small(members: DataFrame, texts: Texts, cell: int) -> DataFrame:
