@@ -251,6 +251,8 @@ def remove_leaks(
     Rows without hits come back unchanged, with the same columns.
     """
     mark = "_leaks"
+    while any(c.lower().startswith((mark, f"_{mark}_")) for c in docs.columns):
+        mark += "_"
     found = find_leaks(docs, benchmark, text=text, into=mark, **options)
     kept = found.filter(F.col(mark)["n_hit"] <= F.lit(max_coverage) * F.col(mark)["n_words"])
     return kept.withColumn(text, without(F.col(text), F.col(mark)["spans"])).drop(mark)

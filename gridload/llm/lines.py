@@ -12,7 +12,9 @@ least one line that is not blank. Texts of fewer lines have no window and stay.
 
 Defined results: null texts stay null; repeated rows (same id and text) are one
 document and lose the same lines; same ids with different texts are ordered by a hash
-of the text; rows without id come first. No rows give no rows.
+of the text; rows without id come first. Texts of any length are taken whole: a text is split
+in one row, and each of its windows is a row of one hash. Columns may have any name. No rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -63,22 +65,33 @@ def repeated_lines(
 
 
 def remove_repeated_lines(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    window: int = WINDOW,
+    into: str = "lines_removed",
 ) -> DataFrame:
-    """``docs`` with its columns, and ``lines_removed``; ``text`` has lost covered lines."""
+    """``docs`` with its columns, and ``into``; ``text`` has lost covered lines.
+
+    Columns of ``docs`` travel as one struct, so their names clash with nothing; a column named
+    ``into`` is replaced.
+    """
     found = repeated_lines(docs, doc_id=doc_id, text=text, window=window)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_of"), "covered")
-    row = F.xxhash64(F.col(text).cast("string"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (row == F.col("_of"))
-    met = docs.drop("lines_removed").join(found, same, "left")
+    found = found.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "covered")
+    whole = docs.select(
+        F.struct(*docs.columns).alias("all"),
+        F.col(doc_id).alias("mine"),
+        F.xxhash64(F.col(text).cast("string")).alias("hash"),
+    )
+    met = whole.join(found, F.col("mine").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")), "left")
     kept = F.filter(
-        F.transform(_lines(F.col(text)), lambda line, at: F.struct(at.alias("at"), line.alias("line"))),
+        F.transform(_lines(F.col("all")[text]), lambda line, at: F.struct(at.alias("at"), line.alias("line"))),
         lambda x: ~F.array_contains("covered", x["at"]),
     )
     less = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
-    return met.withColumns(
-        {
-            text: F.when(F.col("covered").isNull(), F.col(text)).otherwise(less),
-            "lines_removed": F.coalesce(F.size("covered"), F.lit(0)),
-        }
-    ).drop("_id", "_of", "covered")
+    cut = F.when(F.col("covered").isNull(), F.col("all")[text]).otherwise(less)
+    return met.select(
+        *[(cut if c == text else F.col("all")[c]).alias(c) for c in docs.columns if c != into],
+        F.coalesce(F.size("covered"), F.lit(0)).alias(into),
+    )

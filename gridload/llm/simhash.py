@@ -14,7 +14,8 @@ shingles or less are also candidates by exact parts.
 
 Self-join. Only distinct fingerprints take part, so exact copies cost nothing. A pair
 links if it differs in at most ``budget`` bits and in at most one bit of some band. The
-three bands of the 64-bit fingerprint make the second condition follow from the first.
+three bands of the 64-bit fingerprint make the second condition follow from the first. The
+pipeline's 16-bit bands are dealt by halves (see ``link_fingerprints``): 32 rows per fingerprint at any size.
 Per band the fingerprints are rotated so that this band leads; they form a binary trie
 that is walked as pairs of nodes, adding differing bits and dropping a pair of nodes as
 soon as it has more than one in the band or more than ``budget`` in all. The top ``p``
@@ -52,6 +53,8 @@ BANDS = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
 LONG_SHINGLE, LONG_WORDS, LONG_BUDGET = 5, 4, 55
 LONG_BANDS = tuple((k // 4, k % 4 * 16, 16) for k in range(16))
 LONG_LEAST = 0.8
+#: bands of this many bits are joined by halves
+HALVED = 16
 #: sets up to this size are too coarse for SimHash and are candidates if they differ by an element
 TINY = 10
 #: shingles of the sets that one cell compares
@@ -60,6 +63,8 @@ SETS_CELL = 1 << 20
 CELL, CELL_MOST = 32_768, 65_536
 _CHUNK = 1 << 17
 _SMALL, _LARGE = 16, 1 << 12
+#: what stands between words
+WHITE = " \t\n\x0b\x0c\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -253,14 +258,24 @@ def _rotate(values: np.ndarray, by: int) -> np.ndarray:
     return (values << np.uint64(by)) | (values >> np.uint64(BITS - by)) if by else values
 
 
-def _walk_cells(bands: tuple, prefix_bits: int, budget: int):
+def _halves_swapped(lead: np.ndarray, bits: int) -> np.ndarray:
+    """The leading ``bits`` with their two halves exchanged."""
+    half = bits // 2
+    rest = lead & np.uint64((1 << (BITS - bits)) - 1)
+    first, second = lead >> np.uint64(BITS - half), (lead >> np.uint64(BITS - bits)) & np.uint64((1 << half) - 1)
+    return second << np.uint64(BITS - half) | first << np.uint64(BITS - bits) | rest
+
+
+def _walk_cells(bands: tuple, prefix_bits: int, budget: int, halves: bool = False):
     def walk(key: tuple, table: pa.Table) -> pa.Table:
         band, low, high, first, second = (k.as_py() for k in key)
-        word, by, band_bits = bands[band]
+        word, by, band_bits = bands[band // 2 if halves else band]
         nodes = table.column("node").to_numpy()
         full = table.column("fp").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
         full = np.ascontiguousarray(full, "<i8").view("<u8")
         lead = _rotate(full[:, word], by)
+        if halves and band % 2:
+            lead = _halves_swapped(lead, band_bits)
         prefix, part = table.column("prefix").to_numpy(), table.column("part").to_numpy()
         left = np.flatnonzero((prefix == low) & (part == first))
         order = left = left[np.argsort(lead[left])]
@@ -284,23 +299,34 @@ def link_fingerprints(
     budget: int = BUDGET,
     cell: int = CELL,
     cell_most: int = CELL_MOST,
+    halves: bool = False,
 ) -> DataFrame:
     """Edges (a, b) between nodes that connect all linked fingerprints.
 
     ``distinct`` holds each fingerprint ``fp`` once, with a long ``node`` for it. The
-    edges have the same connected components as the full set of links.
+    edges have the same connected components as the full set of links. With ``halves`` a cell
+    is a value of half a band (of an even number of bits): two fingerprints with at most one differing
+    bit in the band agree in one half, so each goes to two cells per band, however many there are; only where
+    such cells grow too large, bits of the other half are added.
     """
     total = distinct.count()
-    bits = min(max(0, int(np.ceil(np.log2(max(total, 1) / cell)))), min(b for _, _, b in bands))
-    leads = [
-        F.struct(
-            F.lit(k).alias("band"),
-            F.expr(
-                f"shiftleft(fp[{word}], {by}) | shiftrightunsigned(fp[{word}], {BITS - by})" if by else f"fp[{word}]"
-            ).alias("lead"),
-        )
-        for k, (word, by, _) in enumerate(bands)
-    ]
+    most = min(b for _, _, b in bands)
+    fixed = most // 2 if halves else 0
+    bits = min(max(fixed, int(np.ceil(np.log2(max(total, 1) / cell)))), most)
+    leads = []
+    for k, (word, by, band_bits) in enumerate(bands):
+        lead = f"shiftleft(fp[{word}], {by}) | shiftrightunsigned(fp[{word}], {BITS - by})" if by else f"fp[{word}]"
+        if not halves:
+            leads.append(F.struct(F.lit(k).alias("band"), F.expr(lead).alias("lead")))
+            continue
+        half, tail = band_bits // 2, BITS - band_bits
+        first, low = f"shiftrightunsigned({lead}, {BITS - half})", (1 << half) - 1
+        second = f"(shiftrightunsigned({lead}, {tail}) & {low}L)"
+        # only the band is looked at here: the bits after it stay zero
+        ways = ((first, second), (second, first))
+        for nth, (one, other) in enumerate(ways):
+            led = f"shiftleft({one}, {BITS - half}) | shiftleft({other}, {tail})"
+            leads.append(F.struct(F.lit(2 * k + nth).alias("band"), F.expr(led).alias("lead")))
     prefix = F.shiftrightunsigned("lead", BITS - bits) if bits else F.lit(0).cast("bigint")
     homes = distinct.select("node", "fp", F.inline(F.array(*leads)))
     homes = homes.select("node", "fp", "band", prefix.alias("prefix"))
@@ -308,7 +334,7 @@ def link_fingerprints(
         homes.groupBy("band", "prefix").count().filter(F.col("count") > cell_most)
         .select("band", "prefix", F.ceil(F.col("count") / cell_most).cast("int").alias("parts"))
     )
-    others = [F.col("prefix")] + [F.col("prefix").bitwiseXOR(F.lit(1 << i)) for i in range(bits)]
+    others = [F.col("prefix")] + [F.col("prefix").bitwiseXOR(F.lit(1 << i)) for i in range(bits - fixed)]
     met = homes.withColumn("other", F.explode(F.array(*others)))
     met = met.join(parts, ["band", "prefix"], "left").join(
         parts.select("band", F.col("prefix").alias("other"), F.col("parts").alias("other_parts")),
@@ -327,7 +353,7 @@ def link_fingerprints(
         "band", low.alias("low"), high.alias("high"), first.alias("i"), second.alias("j"), "node", "fp", "prefix", "part"
     )
     return cells.groupBy("band", "low", "high", "i", "j").applyInArrow(
-        _walk_cells(bands, bits, budget), "a bigint, b bigint"
+        _walk_cells(bands, bits, budget, halves), "a bigint, b bigint"
     )
 
 
@@ -446,8 +472,9 @@ def similar_documents(
     budget: int = LONG_BUDGET,
     **links,
 ) -> DataFrame:
-    """(doc_id, component_id) per row: classes of texts connected by pairs whose sets of
-    shingles have a Jaccard similarity of ``least`` or more.
+    """(doc_id, component_id, key, class, n) per row: classes of texts connected by pairs whose
+    sets of shingles have a Jaccard similarity of ``least`` or more. ``key`` is the text's hash,
+    ``class`` names the class whatever its ids, ``n`` is the size of the set.
 
     SimHash links only name candidates: they connect candidate classes, within which the
     sets of distinct texts are compared before two of them are united.
@@ -461,6 +488,7 @@ def similar_documents(
         ),
         "fingerprints",
     )
+    links = {"halves": all(b == HALVED for _, _, b in bands), **links}
     edges = link_fingerprints(groups.select("node", "fp"), bands=bands, budget=budget, **links)
     tiny = groups.select(F.col("node").alias("a"), F.explode("parts").alias("b"))
     # the same part of two sets links them, a set that is the part of another as well
@@ -478,9 +506,12 @@ def similar_documents(
     named = groups.select("node", "least").join(classes, "node", "left")
     names = named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root", "left").select(
-        "node", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
+        "node",
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "node").alias("class"),
     )
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    rows = marked.select("doc_id", "key", "node", "n")
+    return rows.join(named, "node").select("doc_id", "component_id", "key", "class", "n")
 
 
 def near_duplicates(
@@ -520,14 +551,39 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", classes=near_duplicates, **options
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options
 ) -> DataFrame:
-    """Keep one row per class: the one whose id names it. Rows without id all stay.
-
-    ``classes`` gives them: ``near_duplicates`` or ``similar_documents``.
-    """
-    classes = classes(docs, doc_id=doc_id, text=text, **options)
+    """Keep one row per class of ``near_duplicates``: the one whose id, which must be unique,
+    names it. Rows without id all stay."""
+    classes = near_duplicates(docs, doc_id=doc_id, text=text, **options)
     keep = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_first()))
     one = docs.join(keep, doc_id, "left_semi").select("*", nth.alias("_nth")).filter("_nth = 1").drop("_nth")
     return one.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+
+
+def drop_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Keep one row per class of ``similar_documents``: the one with the smallest id (rows without
+    id last), then the smallest hash of the text. Rows without a word all stay.
+
+    Rows are told apart by id and text, so equal ids with unrelated texts both stay; of rows that
+    are equal in both one stays.
+    """
+    found = similar_documents(docs, doc_id=doc_id, text=text, **options)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    best = found.filter("n > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "key"), rank).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("id"), F.col("best.key").alias("key"))
+    keep = keep.select(F.xxhash64(F.col("id").cast("string")).alias("named"), "id", "key")
+    whole = F.col(text).cast("string")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("all"),
+        F.xxhash64(F.col(doc_id).cast("string")).alias("named"),
+        F.xxhash64(whole).alias("key"),
+        F.coalesce(F.length(F.translate(whole, WHITE, "")) == 0, F.lit(True)).alias("blank"),
+    )
+    met = rows.filter("not blank").join(keep, ["named", "key"])
+    met = met.filter(F.col("all")[doc_id].eqNullSafe(F.col("id")))
+    nth = F.row_number().over(Window.partitionBy("named", "key").orderBy(F.hash("all")))
+    one = met.withColumn("nth", nth).filter("nth = 1")
+    kept = one.select("all").unionByName(rows.filter("blank").select("all"))
+    return kept.select(*[F.col("all")[c].alias(c) for c in docs.columns])

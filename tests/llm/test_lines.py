@@ -51,14 +51,17 @@ ROWS = [
 
 
 def test_matches_brute_force(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("covered", F.lit(1)).drop("covered")
-    docs = docs.withColumn("row", F.lit(5)).withColumn("before", F.col("text"))
-    got = lines.remove_repeated_lines(docs).collect()
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("before", F.col("text"))
+    clashing = ["row", "covered", "_id", "_of", "id", "of", "all", "mine", "hash", "first", "times", "seen", "at", "lines"]
+    docs = docs.withColumns({name: F.lit(5) for name in clashing})
+    found = lines.remove_repeated_lines(docs)
+    assert found.columns == [*docs.columns, "lines_removed"]
+    got = found.collect()
     want = brute(ROWS)
     assert len(got) == len(ROWS)
     for r in got:
         assert (r.text, r.lines_removed) == want[r.doc_id, r.before], r.doc_id
-        assert r.row == 5
+        assert all(r[name] == 5 for name in clashing)
 
 
 def test_empty(spark):
