@@ -334,6 +334,7 @@ def link_fingerprints(
         homes.groupBy("band", "prefix").count().filter(F.col("count") > cell_most)
         .select("band", "prefix", F.ceil(F.col("count") / cell_most).cast("int").alias("parts"))
     )
+    parts = written(parts, "parts")  # of known size: the joins below need no shuffle while it is small
     others = [F.col("prefix")] + [F.col("prefix").bitwiseXOR(F.lit(1 << i)) for i in range(bits - fixed)]
     met = homes.withColumn("other", F.explode(F.array(*others)))
     met = met.join(parts, ["band", "prefix"], "left").join(
