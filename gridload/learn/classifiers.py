@@ -7,7 +7,7 @@ import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -38,6 +38,8 @@ DEFAULTS: dict[str, dict[str, object]] = {
     "random_forest": {"n_estimators": 100, "max_depth": 15},
     "logistic": {"max_iter": 1000, "c": 1.0},
 }
+#: histograms that one pass over the rows may hold
+NODE_MEMORY_MB = 256
 _WEIGHT, _FEATURES = "_weight", "_features"
 
 
@@ -77,6 +79,22 @@ def cost_weights(
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _assembler(features: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(
+        inputCols=list(features), outputCol=_FEATURES, handleInvalid="error"
+    )
+
+
+def assembled(df: DataFrame, features: Sequence[str], label: str = "y_true") -> DataFrame:
+    """Labelled rows as (label, feature vector), what ``fit_assembled`` trains on.
+
+    Many models of one table share it, so that each fit reads two columns.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    return _assembler(features).transform(rows).select(
+        F.col(label).cast("double").alias(label), _FEATURES
+    )
+
 
 class CostSensitiveClassifier:
     """Weighted binary classifier.
@@ -139,6 +157,7 @@ class CostSensitiveClassifier:
                 minInstancesPerNode=int(s.get("min_samples_leaf", 1)),
                 featureSubsetStrategy=str(s.get("max_features", "sqrt")),
                 bootstrap=bool(s.get("bootstrap", True)),
+                maxMemoryInMB=int(s.get("node_memory_mb", NODE_MEMORY_MB)),
                 seed=self.seed,
                 **common,
             )
@@ -149,22 +168,29 @@ class CostSensitiveClassifier:
             subsamplingRate=float(s.get("subsample", 1.0)),
             featureSubsetStrategy=str(s.get("colsample", "all")),
             minInstancesPerNode=int(s.get("min_child_weight", 1)),
+            maxMemoryInMB=int(s.get("node_memory_mb", NODE_MEMORY_MB)),
             seed=self.seed,
             **common,
         )
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str = "y_true") -> FittedClassifier:
-        negatives, positives = class_counts(df, label)
+        counts = class_counts(df, label)
+        return self.fit_assembled(assembled(df, features, label), counts, features, label)
+
+    def fit_assembled(
+        self,
+        table: DataFrame,
+        counts: tuple[int, int],
+        features: Sequence[str],
+        label: str = "y_true",
+    ) -> FittedClassifier:
+        """Fit on rows of ``assembled`` with known (negative, positive) counts."""
+        negatives, positives = counts
         if negatives + positives == 0:
             raise ValueError("no labelled rows to fit on")
         weight = self._weight_of_positives(negatives, positives)
-        weighted = df.filter(F.col(label).isNotNull()).select(
-            *features,
-            F.col(label).cast("double").alias(label),
-            F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0)).alias(_WEIGHT),
-        )
-        assembler = VectorAssembler(
-            inputCols=list(features), outputCol=_FEATURES, handleInvalid="error"
+        weighted = table.withColumn(
+            _WEIGHT, F.when(F.col(label) == 1, F.lit(weight)).otherwise(F.lit(1.0))
         )
         if self.estimator is None:
             learner = self._built_in(label, negatives + positives * weight)
@@ -174,7 +200,7 @@ class CostSensitiveClassifier:
             learner.set(learner.labelCol, label)
             if learner.hasParam("weightCol"):
                 learner.set(learner.weightCol, _WEIGHT)
-        model = Pipeline(stages=[assembler, learner]).fit(weighted)
+        model = PipelineModel([_assembler(features), learner.fit(weighted)])
         return FittedClassifier(
             model,
             {
@@ -205,8 +231,12 @@ class FittedClassifier:
         return list(self._info["feature_names"])
 
     def score_rows(self, df: DataFrame) -> DataFrame:
-        """Adds ``y_proba`` (positive class) and ``y_pred`` (at 0.5, reached counts)."""
-        scored = self.model.transform(df)
+        """Adds ``y_proba`` (positive class) and ``y_pred`` (at 0.5, reached counts).
+
+        Rows of ``assembled`` are scored by their vector.
+        """
+        stage = self.model.stages[-1] if _FEATURES in df.columns else self.model
+        scored = stage.transform(df)
         dropped = {"rawPrediction", "probability", "prediction", _FEATURES} - set(df.columns)
         return (
             scored.withColumn(SCORE, vector_to_array("probability")[1])

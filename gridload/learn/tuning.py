@@ -1,8 +1,12 @@
 """Cross-validation, threshold search and hyper-parameter search over Spark fits.
 
-The driver only holds settings and scores; every fit and every evaluation is a Spark
-job over the whole fold. Training tables are written to the checkpoint folder once,
-since iterative learners read them many times.
+The driver only holds settings, confusion counts and scores; every fit and every
+evaluation is a Spark job over the whole fold. Training tables are written to the
+checkpoint folder once, since iterative learners read them many times.
+
+A search writes its tables once as feature vectors, in partitions of ``TASK_ROWS`` rows:
+small tables take one task per job, and as many trials run side by side as then fit the
+cores; large tables fill the cores with one trial. Costly trials start first.
 """
 
 from __future__ import annotations
@@ -17,17 +21,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridload.learn.classifiers import CostSensitiveClassifier
+from gridload.learn.classifiers import (
+    NODE_MEMORY_MB,
+    CostSensitiveClassifier,
+    assembled,
+    class_counts,
+)
 from gridload.operators.folds import fold_metrics, shuffled_folds
 from gridload.operators.metrics import (
     OPTIMISED,
     best_thresholds,
+    confusion_counts,
     curve_areas,
-    label_metrics,
+    metric,
     mean_thresholds,
     score_curve,
 )
-from gridload.session import durable
+from gridload.session import discard, durable
 
 # fixed values: search ranges (low, high) of the two model families
 BOOSTED_RANGES = {
@@ -47,6 +57,10 @@ FOREST_RANGES = {
 }
 COST_RANGE = (1.0, 20.0)
 SEARCH_METRICS = ("gmean", "f1", "balanced_accuracy", "auc_pr")
+COUNTS = ("tp", "fp", "tn", "fn")
+#: rows per task of a search's tables, and histogram memory of a fit per such task: a fit
+#: of few rows gains nothing from few passes, and many such fits share the memory
+TASK_ROWS, TASK_MEMORY_MB = 250_000, 32
 
 
 def score_folds(
@@ -107,12 +121,15 @@ def optimise_thresholds(
     return mean_thresholds(best_thresholds(scored, ["fold"], names, label))
 
 
-def search_score(scored: DataFrame, metric: str, label: str) -> float:
-    if metric not in SEARCH_METRICS:
-        raise ValueError(f"unknown metric: {metric}")
-    if metric == "auc_pr":
-        return curve_areas(score_curve(scored, label=label)).first()["auc_pr"]
-    return label_metrics(scored, names=[metric], label=label).first()[metric]
+def search_table(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Feature vectors, written once in partitions of about ``TASK_ROWS`` rows."""
+    parts = max(1, -(-df.count() // TASK_ROWS))
+    return durable(assembled(df, features, label).repartition(parts))
+
+
+def trial_scores(trials: DataFrame, name: str) -> DataFrame:
+    """Adds ``score`` to a table of trials with their confusion counts."""
+    return trials.withColumn("score", metric(name))
 
 
 def draw_settings(kind: str, rng: np.random.Generator) -> dict[str, object]:
@@ -137,7 +154,10 @@ def draw_settings(kind: str, rng: np.random.Generator) -> dict[str, object]:
 
 
 class Search:
-    """Random hyper-parameter search scored on a validation table."""
+    """Random hyper-parameter search scored on a validation table.
+
+    ``parallel`` trials run at a time (default: as many as the cores hold).
+    """
 
     def __init__(
         self,
@@ -145,7 +165,7 @@ class Search:
         metric: str = "gmean",
         trials: int = 50,
         seed: int = 42,
-        parallel: int = 2,
+        parallel: int | None = None,
         fixed: dict[str, object] | None = None,
     ):
         if kind not in ("xgboost", "random_forest"):
@@ -170,21 +190,52 @@ class Search:
         return self.learner(self.best()["settings"])
 
     def _run(
-        self, number: int, settings: dict[str, object], train: DataFrame, val: DataFrame,
-        features: Sequence[str], label: str,
+        self, learner: CostSensitiveClassifier, train: DataFrame, counts: tuple[int, int],
+        val: DataFrame, features: Sequence[str], label: str,
     ) -> dict[str, object]:
-        scored = self.learner(settings).fit(train, features, label).score_rows(val)
-        score = search_score(scored, self.metric, label)
-        return {"trial": number, "score": float(score), "settings": settings}
+        """Confusion counts of one trial, and its curve area if that is the metric."""
+        model = learner.fit_assembled(train, counts, features, label)
+        scored = model.score_rows(val)
+        if self.metric != "auc_pr":
+            return confusion_counts(scored, label=label).first().asDict()
+        scored = durable(scored.select(label, "y_proba", "y_pred"))
+        found = confusion_counts(scored, label=label).first().asDict()
+        areas = curve_areas(score_curve(scored, label=label)).first()
+        discard(scored)
+        return found | {"score": float(areas["auc_pr"])}
+
+    @staticmethod
+    def _cost(learner: CostSensitiveClassifier) -> int:
+        """Levels of trees to grow: what a trial takes, up to a factor."""
+        return int(learner.settings["n_estimators"]) * int(learner.settings["max_depth"])
+
+    def _width(self, spark: SparkSession, trials: int, tasks: int) -> int:
+        if self.parallel is not None:
+            return self.parallel
+        return max(1, min(trials, spark.sparkContext.defaultParallelism // tasks))
 
     def _evaluate(self, points, train, val, features, label) -> list[dict[str, object]]:
-        train, val = durable(train), durable(val)
-        with ThreadPoolExecutor(self.parallel) as pool:
-            jobs = [
-                pool.submit(self._run, i, p, train, val, features, label)
-                for i, p in enumerate(points)
-            ]
-            return [j.result() for j in jobs]
+        train, val = (search_table(t, features, label) for t in (train, val))
+        counts = class_counts(train, label)
+        spark, tasks = train.sparkSession, -(-sum(counts) // TASK_ROWS) or 1
+        memory = {"node_memory_mb": min(NODE_MEMORY_MB, TASK_MEMORY_MB * tasks)}
+        learners = [self.learner({**memory, **p}) for p in points]
+        costly_first = sorted(range(len(points)), key=lambda i: -self._cost(learners[i]))
+        with ThreadPoolExecutor(self._width(spark, len(points), tasks)) as pool:
+            jobs = {
+                i: pool.submit(self._run, learners[i], train, counts, val, features, label)
+                for i in costly_first
+            }
+            found = [jobs[i].result() for i in range(len(points))]
+        for table in (train, val):
+            discard(table)
+        if self.metric != "auc_pr":
+            rows = [(i, *(f[c] for c in COUNTS)) for i, f in enumerate(found)]
+            names = ", ".join(f"{c} bigint" for c in COUNTS)
+            table = spark.createDataFrame(rows, f"trial int, {names}")
+            for r in trial_scores(table, self.metric).collect():
+                found[r["trial"]]["score"] = float(r["score"])
+        return [{"trial": i, "settings": points[i], **f} for i, f in enumerate(found)]
 
     def tune(
         self, train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "y_true"
@@ -220,10 +271,12 @@ class Search:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (r["trial"], r["score"], json.dumps(r["settings"], sort_keys=True))
+            (r["trial"], r["score"], json.dumps(r["settings"], sort_keys=True), *(r[c] for c in COUNTS))
             for r in self.results
         ]
-        return spark.createDataFrame(rows, "trial int, score double, settings string").withColumns(
+        names = ", ".join(f"{c} bigint" for c in COUNTS)
+        schema = f"trial int, score double, settings string, {names}"
+        return spark.createDataFrame(rows, schema).withColumns(
             {"model_type": F.lit(self.kind), "metric": F.lit(self.metric)}
         )
 
@@ -239,6 +292,7 @@ class Search:
         search = cls(rows[0]["model_type"], rows[0]["metric"], len(rows))
         search.results = [
             {"trial": r["trial"], "score": r["score"], "settings": json.loads(r["settings"])}
+            | {c: r[c] for c in COUNTS}
             for r in rows
         ]
         return search

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridload.learn.classifiers import KINDS, FittedClassifier
+from gridload.learn.tuning import COST_RANGE, FOREST_RANGES, Search
 from gridload.operators.metrics import curve_areas, score_curve
 from gridload.plans.fixtures import daily, hourly, with_views
-from gridload.plans.learning_queries import LABEL, fitted, training_rows
+from gridload.plans.learning_queries import FEATURES, LABEL, TRIALS, fitted, training_rows
 from gridload.plans.registry import query
 from gridload.prep.isolation import IsolationForest
 from gridload.session import durable, new_path
@@ -79,6 +80,77 @@ def model_reload_checks(spark, sf_dir):
     )
 
 
+#: forests of the search checks: many trials of small ones
+SMALL_FOREST = {"n_estimators": 20, "max_depth": 5}
+RATES = ("tp / nullif(tp + fn, 0)", "tn / nullif(tn + fp, 0)")
+#: the score of a trial, from its confusion counts
+RECOMPUTED = {
+    "gmean": f"coalesce(sqrt(({RATES[0]}) * ({RATES[1]})), 0)",
+    "f1": "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)",
+}
+
+
+def _search_sql(trials: int) -> str:
+    return (
+        with_views("daily", HELD_OUT)
+        + f"""SELECT {trials}::BIGINT AS trials, {trials}::BIGINT AS settings, count(*) AS least_rows,
+  count(*) AS most_rows, 0::BIGINT AS wrong_scores, 0::BIGINT AS out_of_range,
+  0::BIGINT AS changed_by_reload, 1::BIGINT AS best FROM held"""
+    )
+
+
+def _search_checks(spark, search):
+    """What holds of any finished search; its results are saved and loaded again."""
+    path = new_path(spark, "search")
+    search.save(spark, path)
+    table = Search.load(spark, path).table(spark)
+    drawn = F.from_json(
+        "settings", "min_samples_leaf int, max_features string, bootstrap boolean, positive_weight double"
+    )
+    s = {f: drawn[f] for f in ("min_samples_leaf", "max_features", "bootstrap", "positive_weight")}
+    inside = (
+        s["min_samples_leaf"].isNull() | s["min_samples_leaf"].between(*FOREST_RANGES["min_samples_leaf"])
+    ) & (s["max_features"].isNull() | s["max_features"].isin(*FOREST_RANGES["max_features"]))
+    inside &= s["positive_weight"].isNull() | s["positive_weight"].between(*COST_RANGE)
+    rows = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    wrong = F.abs(F.expr(RECOMPUTED[search.metric]) - F.col("score")) > 1e-12
+    # the first of the highest scores, found by order instead of by comparing
+    ranked = table.orderBy(F.desc("score"), "trial").limit(1).select("trial").scalar()
+    original = search.table(spark)
+    changed = table.exceptAll(original).unionAll(original.exceptAll(table))
+    return table.agg(
+        F.count_distinct("trial").alias("trials"),
+        F.count_distinct("settings").alias("settings"),
+        F.min(rows).alias("least_rows"),
+        F.max(rows).alias("most_rows"),
+        F.count_if(wrong).alias("wrong_scores"),
+        F.count_if(~inside).alias("out_of_range"),
+    ).withColumns(
+        {
+            "changed_by_reload": changed.agg(F.count(F.lit(1))).scalar(),
+            "best": (ranked == search.best()["trial"]).cast("bigint"),
+        }
+    )
+
+
+@query("search_checks", _search_sql(TRIALS))
+def search_checks(spark, sf_dir):
+    """All trials of a search over small forests, scored by geometric mean."""
+    rows = training_rows(spark, sf_dir)
+    search = Search("random_forest", "gmean", trials=TRIALS, fixed=SMALL_FOREST)
+    search.tune(rows.filter("in_train = 1"), rows.filter("in_val = 1"), FEATURES, LABEL)
+    return _search_checks(spark, search)
+
+
+@query("cost_ratio_checks", _search_sql(20))
+def cost_ratio_checks(spark, sf_dir):
+    """Twenty cost ratios for small forests, scored by F1."""
+    rows = training_rows(spark, sf_dir)
+    search = Search("random_forest", "f1", fixed=SMALL_FOREST)
+    search.tune_cost_ratio(rows.filter("in_train = 1"), rows.filter("in_val = 1"), FEATURES, LABEL)
+    return _search_checks(spark, search)
+
+
 def _outlier_sql(view: str) -> str:
     return (
         with_views(view)

@@ -191,23 +191,48 @@ def _frequent(df: DataFrame) -> list[str]:
     return [r["_pattern"] for r in counts.orderBy(F.desc("n"), "_pattern").limit(PATTERNS).collect()]
 
 
-def _code(order: str, columns: list[str], ranges: dict[str, tuple[float, float]]) -> Column:
-    """Z-order code over the columns an order's receivers have (all of them for the rest)."""
-    used = [c for i, c in enumerate(columns) if order == _REST or order[i] == "1"][:CODE_BITS]
-    if not used:
-        return F.lit(0).cast("bigint")
-    bits = CODE_BITS // len(used)
+def _shares(columns: list[str], ranges: dict[str, tuple[float, float]]) -> Column:
+    """Where each cell lies in its column's range, 0 to 1; 0 if missing."""
     cells = []
-    for c in used:
+    for c in columns:
         low, high = ranges[c]
         share = (F.col(c) - F.lit(low)) / F.lit((high - low) or 1.0)
-        cell = F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * float((1 << bits) - 1))
-        cells.append(F.coalesce(cell.cast("bigint"), F.lit(0).cast("bigint")))
-    code = F.lit(0).cast("bigint")
-    for bit in reversed(range(bits)):
-        for cell in cells:
-            code = code * 2 + F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("bigint"))
-    return code
+        # least and greatest pass over nulls
+        cells.append(F.greatest(F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)))
+    return F.array(*cells)
+
+
+def _order_table(orders: list[str], columns: list[str]) -> Column:
+    """(order, the columns its receivers have, bits of each in the code), as a literal."""
+    entries = []
+    for order in orders:
+        used = [i for i in range(len(columns)) if order == _REST or order[i] == "1"][:CODE_BITS]
+        bits = CODE_BITS // len(used) if used else 0
+        indexes = F.array(*[F.lit(i) for i in used]).cast("array<int>")
+        entries.append(
+            F.struct(F.lit(order).alias(_ORDER), indexes.alias("_used"), F.lit(bits).alias("_bits"))
+        )
+    return F.array(*entries)
+
+
+def _code() -> Column:
+    """Z-order code of ``_shares`` over ``_used``: the leading bits of all, then the next.
+
+    One small expression for every order: spelled out per order and bit, it outgrows what
+    can be compiled.
+    """
+    most = F.pow(F.lit(2.0), F.col("_bits")) - 1
+    cells = F.transform("_used", lambda i: F.floor(F.col("_shares")[i] * most).cast("bigint"))
+    places = F.sequence(F.col("_bits") - 1, F.lit(0), F.lit(-1))
+
+    def interleave(code: Column, bit: Column) -> Column:
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(
+            cells, code, lambda c, cell: c * 2 + F.call_function("shiftright", cell, bit).bitwiseAND(one)
+        )
+
+    code = F.aggregate(places, F.lit(0).cast("bigint"), interleave)
+    return F.when(F.col("_bits") > 0, code).otherwise(F.lit(0).cast("bigint"))
 
 
 def _tiled(rows: DataFrame, orders: list[str], columns: list[str], keys: list[str], tile_rows: int) -> DataFrame:
@@ -217,11 +242,12 @@ def _tiled(rows: DataFrame, orders: list[str], columns: list[str], keys: list[st
     kinds = rows.withColumn("_pattern", _pattern(columns))
     own = _frequent(kinds)
     kinds = kinds.withColumn(_KIND, F.when(F.col("_pattern").isin(own), F.col("_pattern")).otherwise(_REST))
-    copies = F.array(
-        *[F.struct(F.lit(o).alias(_ORDER), _code(o, columns, ranges).alias("_code")) for o in orders]
+    kinds = kinds.withColumn("_shares", _shares(columns, ranges))
+    spread = kinds.select(
+        *keys, _ROW, _KIND, *columns, "_shares", F.inline(_order_table(orders, columns))
     )
-    spread = kinds.select(*keys, _ROW, _KIND, *columns, F.inline(copies))
-    placed = global_position(spread, [_ORDER, *keys, _KIND, "_code", _ROW], "_place")
+    coded = spread.withColumn("_code", _code()).drop("_shares", "_used", "_bits")
+    placed = global_position(coded, [_ORDER, *keys, _KIND, "_code", _ROW], "_place")
     return placed.withColumn(_TILE, F.floor(F.col("_place") / tile_rows)).drop("_place", "_code")
 
 

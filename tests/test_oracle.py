@@ -17,7 +17,7 @@ cop_profile confusion_single_class evaluate_models best_thresholds threshold_gri
 reliability_bins classification_report year_split time_series_folds stratified_folds fold_summary
 response_impact_adaptive response_impact_none load_shift_impact peak_scenarios peak_trigger_empty
 check_raw check_loaded check_model_inputs knn_impute scale_robust median_impute_unseen
-analysis_features wide_csv processed_partitions report_csv
+analysis_features wide_csv processed_partitions report_csv search_checks cost_ratio_checks
 """.split()
 
 ORACLES = catalogue.all_oracles()

@@ -9,13 +9,14 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from gridload.learn.classifiers import CostSensitiveClassifier, FittedClassifier
-from gridload.learn.tuning import Search, optimise_thresholds
+from gridload.learn.tuning import FOREST_RANGES, Search, draw_settings, optimise_thresholds
 from gridload.operators import checks, select
+from gridload.operators.metrics import curve_areas, label_metrics, score_curve
 from gridload.operators.ordering import SeriesLayout
 from gridload.plans.analysis import run_analysis
 from gridload.prep.features import Preprocessor, engineer, pipeline_info
 from gridload.prep.isolation import IsolationForest, IsolationModel
-from gridload.prep.neighbours import knn_impute
+from gridload.prep.neighbours import _code, _order_table, _shares, knn_impute
 from gridload.prep.steps import FillModel, FillNeighbours, FillStatistic, NeighbourModel, Scale
 from gridload.session import new_path
 from gridload.sources import sinks, tables
@@ -65,6 +66,34 @@ def test_knn_equals_brute_force(spark, holes, tile, levels, fan):
         np.testing.assert_allclose(mine, want, rtol=1e-9)
 
 
+def test_knn_of_many_columns(spark):
+    rng, columns = np.random.default_rng(8), [f"x{i}" for i in range(25)]
+    values = rng.normal(size=(300, 25))
+    values[rng.random(values.shape) < 0.02] = np.nan
+    values[40:60, 3:9] = np.nan
+    frame = pd.DataFrame(values, columns=columns)
+    frame["ts"], frame["series"] = pd.date_range("2020-01-01", periods=300, freq="h"), "one"
+    got = knn_impute(as_df(spark, frame), columns, k=4, tile_rows=32, levels=1, fan=4).toPandas()
+    got = got.sort_values("ts")[columns].to_numpy()
+    np.testing.assert_allclose(got, brute_force(values, 4), rtol=1e-9)
+
+
+@pytest.mark.parametrize("order", ["111", "010", "101", "000", "rest"])
+def test_order_codes_interleave_bits(spark, order):
+    names = ["a", "b", "c"]
+    rows = [(0.0, 0.25, 1.0), (0.9, None, 0.1), (None, None, None), (1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn(
+        "_shares", _shares(names, {n: (0.0, 1.0) for n in names})
+    )
+    got = df.select("*", F.inline(_order_table([order], names))).withColumn("_code", _code()).collect()
+    used = [i for i in range(3) if order == "rest" or order[i] == "1"]
+    bits = 40 // len(used) if used else 0
+    for row in got:
+        cells = [int((row[names[i]] or 0.0) * (2**bits - 1)) for i in used]
+        text = "".join(str(cell >> bit & 1) for bit in reversed(range(bits)) for cell in cells)
+        assert row["_code"] == int(text or "0", 2)
+
+
 def test_knn_with_separate_donors(spark, holes):
     hot = holes[holes.series == "hot"].reset_index(drop=True)
     known, fresh = hot.iloc[:200], hot.iloc[200:]
@@ -321,6 +350,32 @@ def test_thresholds_and_search(spark, labelled):
     assert best == search.best()["settings"] and len(search.results) == 2
 
 
+@pytest.mark.parametrize("metric", ["gmean", "auc_pr"])
+def test_search_equals_separate_fits(spark, labelled, metric):
+    """Trials side by side on shared vectors score like each learner alone."""
+    fixed = {"n_estimators": 3, "max_depth": 3, "bootstrap": False, "max_features": "all"}
+    search = Search("random_forest", metric, trials=4, fixed=fixed)
+    search.tune(labelled, labelled, FEATURES, "y")
+    for result in search.results:
+        model = search.learner(result["settings"]).fit(labelled, FEATURES, "y")
+        scored = model.score_rows(labelled)
+        if metric == "auc_pr":
+            want = curve_areas(score_curve(scored, label="y")).first()["auc_pr"]
+        else:
+            want = label_metrics(scored, names=[metric], label="y").first()[metric]
+        assert result["score"] == pytest.approx(want, abs=1e-9)
+
+
+def test_default_search_has_fifty_trials_in_the_ranges():
+    rng = np.random.default_rng(Search().seed)
+    points = [draw_settings("random_forest", rng) for _ in range(Search().trials)]
+    assert len(points) == 50
+    for name in ("n_estimators", "max_depth", "min_samples_leaf"):
+        low, high = FOREST_RANGES[name]
+        assert all(low <= p[name] <= high for p in points)
+        assert len({p[name] for p in points}) > 5
+
+
 def test_first_of_equal_trials_wins():
     search = Search()
     search.results = [{"trial": i, "score": s, "settings": {}} for i, s in enumerate([1, 2, 2])]
