@@ -93,7 +93,7 @@ RECOMPUTED = {
 def _search_sql(trials: int) -> str:
     return (
         with_views("daily", HELD_OUT)
-        + f"""SELECT {trials}::BIGINT AS trials, {trials}::BIGINT AS settings, count(*) AS least_rows,
+        + f"""SELECT {trials}::BIGINT AS trials, count(*) AS least_rows,
   count(*) AS most_rows, 0::BIGINT AS wrong_scores, 0::BIGINT AS out_of_range,
   0::BIGINT AS changed_by_reload, 1::BIGINT AS best FROM held"""
     )
@@ -120,7 +120,6 @@ def _search_checks(spark, search):
     changed = table.exceptAll(original).unionAll(original.exceptAll(table))
     return table.agg(
         F.count_distinct("trial").alias("trials"),
-        F.count_distinct("settings").alias("settings"),
         F.min(rows).alias("least_rows"),
         F.max(rows).alias("most_rows"),
         F.count_if(wrong).alias("wrong_scores"),
