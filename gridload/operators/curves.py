@@ -14,6 +14,7 @@ from gridload.operators.ordering import (
     time_position,
 )
 from gridload.operators.select import first_rows, winter_rows
+from gridload.session import durable
 
 _BLOCK = 4096
 
@@ -98,7 +99,17 @@ def stress_week_starts(
     Windows start every ``step`` winter rows while ``start < n - rows``. Each stress
     row names the few windows it lies in, so no window is ever scanned.
     """
-    winter = time_position(winter_rows(df, layout.time), layout, "_row", total="_rows")
+    return _week_starts(_numbered_winter(df, layout), label, rows, step, examples, layout)
+
+
+def _numbered_winter(df: DataFrame, layout: SeriesLayout) -> DataFrame:
+    """Winter rows with ``_row``, their number in the series, and ``_rows``, how many."""
+    return time_position(winter_rows(df, layout.time), layout, "_row", total="_rows")
+
+
+def _week_starts(
+    winter: DataFrame, label: str, rows: int, step: int, examples: int, layout: SeriesLayout
+) -> DataFrame:
     row, n = F.col("_row"), F.col("_rows")
     first = F.greatest(F.ceil((row - (rows - 1)) / step) * step, F.lit(0))
     last = F.least(F.floor(row / step) * step, F.floor((n - rows - 1) / step) * step)
@@ -124,11 +135,12 @@ def example_week(
     """The week to show for each series.
 
     The first winter window with stress; without one the first winter rows; with
-    fewer than ``rows`` winter rows the first rows of the whole series.
+    fewer than ``rows`` winter rows the first rows of the whole series. Winter rows are
+    numbered once, in a written table that starts, week and remainder share.
     """
     keys = list(layout.keys)
-    winter = time_position(winter_rows(df, layout.time), layout, "_row", total="_rows")
-    starts = stress_week_starts(df, label, rows, step, 1, layout).select(*keys, "start_row")
+    winter = durable(_numbered_winter(df, layout))
+    starts = _week_starts(winter, label, rows, step, 1, layout).select(*keys, "start_row")
     start = F.coalesce(F.col("start_row"), F.lit(0))
     chosen = (
         winter.filter(F.col("_rows") >= rows)
@@ -136,12 +148,6 @@ def example_week(
         .filter((F.col("_row") >= start) & (F.col("_row") < start + rows))
         .select(*df.columns)
     )
-    served = (
-        winter_rows(df, layout.time)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= rows)
-        .select(*keys)
-    )
+    served = winter.filter((F.col("_row") == 0) & (F.col("_rows") >= rows)).select(*keys)
     rest = df.join(served, keys, "left_anti")
     return chosen.unionByName(first_rows(rest, rows, layout).select(*df.columns))

@@ -46,3 +46,10 @@ def test_scan_reads_only_what_is_used(spark, sf_dir):
     text = plan(catalogue.all_queries()["peak_scenarios"](spark, sf_dir))
     scans = [line for line in text.splitlines() if "FileScan" in line]
     assert scans and all("ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double,props:string>" in s for s in scans)
+
+
+def test_example_week_numbers_winter_once(spark, sf_dir):
+    """Starts, week and remainder read one written numbering: no window over all winter rows."""
+    text = plan(catalogue.all_queries()["example_week"](spark, sf_dir))
+    text = text.split("Initial Plan")[-1]
+    assert "durable-" in text and text.count("Exchange") < 15
