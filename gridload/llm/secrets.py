@@ -14,7 +14,9 @@ within one repository are removed before the count, so a value in every row is c
 
 Defined results: null texts are empty; repeated rows (same id and text) get the same
 findings; same ids with different texts are told apart; a null repository or owner
-counts as one of its own; no rows give no rows. Positions are code points.
+counts as one of its own; no rows give no rows. Positions are code points. Very long texts
+are searched whole; the time follows the number of matches, but for the overlap test, which
+compares each ``random`` candidate with the base spans of its text.
 """
 
 from __future__ import annotations
@@ -32,17 +34,22 @@ RANDOM = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_CHARS = 8
 MAX_OWNERS = 1
+#: matches whose spans are appended to one array
+BLOCK = 256
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
 def _spans(text: Column, kind: int, pattern: str, value_group: int = 0) -> Column:
-    """All matches of a pattern with their places: lengths of pieces between matches."""
+    """All matches of a pattern with their places: lengths of pieces between matches.
+
+    Arrays grow by copying, so matches are taken in blocks of ``BLOCK``: first the length
+    of each block, then its spans from where it starts.
+    """
     found, regex = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(pattern)
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, regex, F.lit(value_group)) if value_group else found
     empty = F.array().cast(_SPAN)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
 
     def step(state: Column, m: Column) -> Column:
         begin = state["at"] + m["gap"]
@@ -50,6 +57,30 @@ def _spans(text: Column, kind: int, pattern: str, value_group: int = 0) -> Colum
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
+    def placed(block: Column) -> Column:
+        """Spans of one block of pieces, which starts at ``at``."""
+        return F.aggregate(
+            block["pieces"], F.struct(block["at"].alias("at"), empty.alias("out")), step, lambda s: s["out"]
+        )
+
+    def in_blocks(pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def with_starts(blocks: Column) -> Column:
+        sizes = F.transform(
+            blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda at, m: at + m["gap"] + m["size"])
+        )
+        starts = F.aggregate(
+            sizes,
+            F.array(F.lit(0).cast("bigint")),
+            lambda found, size: F.concat(found, F.array(F.element_at(found, -1) + size)),
+        )
+        return F.zip_with(
+            blocks, F.slice(starts, 1, F.size(blocks)),
+            lambda block, at: F.struct(block.alias("pieces"), at.alias("at")),
+        )
+
     pieces = F.transform(
         F.arrays_zip(
             F.transform(found, lambda m: F.length(m).cast("bigint")).alias("size"),
@@ -58,7 +89,10 @@ def _spans(text: Column, kind: int, pattern: str, value_group: int = 0) -> Colum
         ),
         lambda z: F.struct(z["size"].alias("size"), z["gap"].alias("gap"), z["value"].alias("value")),
     )
-    spans = F.aggregate(pieces, start, step, lambda s: s["out"])
+    # a lambda's variable is evaluated once, the expression behind it for every block
+    blocks = F.get(F.transform(F.array(pieces), in_blocks), F.lit(0))
+    blocks = F.get(F.transform(F.array(blocks), with_starts), F.lit(0))
+    spans = F.flatten(F.transform(blocks, placed))
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 

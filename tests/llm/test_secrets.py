@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,14 @@ def test_query(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
         assert r.base_sha256 == hashlib.sha256(as_text(spans).encode()).hexdigest()
         assert set(as_text(spans).split(",")) <= set(r.spans.split(","))
+
+
+def test_many_matches_in_one_text(spark):
+    """Places stay right beyond one block, and the time follows the matches."""
+    n = 40_000
+    docs = spark.createDataFrame([(1, "token=abcdefgh é\n" * n)], "doc_id long, text string")
+    base, _ = secrets.candidates(F.col("text"))
+    began = time.monotonic()
+    spans = docs.select(base.alias("base")).first().base
+    assert time.monotonic() - began < 30
+    assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 14) for i in range(n)]
