@@ -14,7 +14,8 @@ cells' counts give each cell its first number, so no task holds a whole source.
 
 Defined results: a null source is the source ``''``; sources without a given weight get
 one part; repeated rows are rows of their own; rows without id come first in their
-source; no rows give no rows. ``slot``, ``block``, ``release``, ``deadline`` and
+source, by a hash of their other columns, which deals them to cells as ids do; rows of one
+id, or without id and equal throughout, share a cell; no rows give no rows. ``slot``, ``block``, ``release``, ``deadline`` and
 ``place`` replace columns of that name; other columns travel as one struct, whatever their names.
 Texts of any length are taken whole.
 """
@@ -38,6 +39,8 @@ POWER = 0.5
 CELL_ROWS = 1_000
 #: a cycle of at most this many slots is broadcast, a longer one is joined by a shuffle
 BROADCAST_SLOTS = 100_000
+#: sorts before every hexadecimal digit
+FIRST = "!"
 #: columns of the schedule
 NAMES = ["slot", "block", "release", "deadline", "place"]
 
@@ -82,14 +85,22 @@ def _cell_digits(rows: int, cell_rows: int) -> int:
     return digits
 
 
-def order_key(doc_id: str) -> Column:
+def order_key(doc_id: str, without: str | None = "") -> Column:
     """Order within a source: the digest of the id; rows without id come first."""
-    return F.coalesce(F.md5(F.col(doc_id).cast("string")), F.lit(""))
+    return F.coalesce(F.md5(F.col(doc_id).cast("string")), F.lit(without))
+
+
+def spread_key(docs: DataFrame) -> Column:
+    """Order of the rows without id, before all digests: a hash of their other columns."""
+    plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return F.concat(F.lit(FIRST), F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in plain])), 16, "0"))
 
 
 def numbered(keyed: DataFrame, rows: int, cell_rows: int) -> DataFrame:
     """Add ``_nth``, the row's number (from 0) in its ``_source`` by ``_order``."""
-    keyed = keyed.withColumn("_cell", F.substring("_order", 1, _cell_digits(rows, cell_rows)))
+    digits = _cell_digits(rows, cell_rows)
+    cell = F.when(F.startswith("_order", F.lit(FIRST)), F.substring("_order", 1, digits + 1))
+    keyed = keyed.withColumn("_cell", cell.otherwise(F.substring("_order", 1, digits)))
     along = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = keyed.groupBy("_source", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     cells = cells.select("_source", "_cell", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"))
@@ -165,9 +176,8 @@ def mix(
     """
     schedule = Schedule(docs, weights, source, parts, block_rows)
     kept = [c for c in docs.columns if c not in NAMES]
-    keyed = docs.select(
-        F.struct(*kept).alias("_all"), source_key(source).alias("_source"), order_key(doc_id).alias("_order")
-    )
+    order = F.coalesce(order_key(doc_id, None), spread_key(docs))
+    keyed = docs.select(F.struct(*kept).alias("_all"), source_key(source).alias("_source"), order.alias("_order"))
     return _unpacked(schedule.placed(numbered(keyed, schedule.rows, cell_rows)), kept)
 
 

@@ -65,3 +65,19 @@ def test_query_matches_sql(spark):
     df = queries.all_queries()["op9_mixing"](spark, sf_dir)
     con = oracle.connect(sf_dir)
     assert oracle.spark_rows(df) == oracle.oracle_rows(con, queries.all_oracles()["op9_mixing"])
+
+
+def test_rows_without_id_are_dealt_to_cells(spark):
+    """A third of the rows without id: first in their source, in many cells, same numbers."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("hot").alias("source"),
+        F.col("id").cast("string").alias("text"),
+    )
+    one, many = mixing.mix(docs).collect(), mixing.mix(docs, cell_rows=20).collect()
+    assert sorted(map(tuple, one), key=repr) == sorted(map(tuple, many), key=repr)
+    first = sorted(one, key=lambda r: (r.block, r.place))[:1000]
+    assert all(r.doc_id is None for r in first)
+    order = F.coalesce(mixing.order_key("doc_id", None), mixing.spread_key(docs))
+    keyed = docs.select("source", order.alias("_order")).withColumnRenamed("source", "_source")
+    assert keyed.filter(F.startswith("_order", F.lit("!"))).select(F.substring("_order", 1, 3)).distinct().count() > 200
+    assert mixing.numbered(keyed, 3000, 20).agg(F.max("_nth"), F.count_distinct("_nth")).first()[:] == (2999, 3000)
