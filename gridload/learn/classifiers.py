@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridload.operators.metrics import PREDICTED, SCORE, metrics_at, predict_at
+from gridload.session import allow_checkpoints
 
 log = logging.getLogger(__name__)
 
@@ -157,6 +158,8 @@ class CostSensitiveClassifier:
                 minInstancesPerNode=int(s.get("min_samples_leaf", 1)),
                 featureSubsetStrategy=str(s.get("max_features", "sqrt")),
                 bootstrap=bool(s.get("bootstrap", True)),
+                # rows keep their nodes: else each pass walks all trees from the root
+                cacheNodeIds=True,
                 maxMemoryInMB=int(s.get("node_memory_mb", NODE_MEMORY_MB)),
                 seed=self.seed,
                 **common,
@@ -200,6 +203,7 @@ class CostSensitiveClassifier:
             learner.set(learner.labelCol, label)
             if learner.hasParam("weightCol"):
                 learner.set(learner.weightCol, _WEIGHT)
+        allow_checkpoints(table.sparkSession)
         model = PipelineModel([_assembler(features), learner.fit(weighted)])
         return FittedClassifier(
             model,

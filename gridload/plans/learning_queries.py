@@ -25,7 +25,7 @@ from gridload.plans.analysis import run_analysis
 from gridload.plans.fixtures import daily, scored, with_views
 from gridload.plans.registry import query, rounded
 from gridload.prep.features import ANALYSIS_FEATURES, analysis_features
-from gridload.session import durable, new_path
+from gridload.session import discard, durable, new_path
 
 FEATURES = list(ANALYSIS_FEATURES)
 LABEL = "stress_hour"
@@ -36,11 +36,14 @@ GLOBAL = SeriesLayout(keys=(), span_hours=24 * 366)
 
 def training_rows(spark, sf_dir):
     """Analysis features of all days; all years but the last train, the last is held out."""
+    # thresholds, positions and windows read the days again and again, the orders once
+    days = durable(daily(spark, sf_dir))
     rows = durable(
-        analysis_features(daily(spark, sf_dir)).withColumn(
+        analysis_features(days).withColumn(
             "row_id", F.concat_ws("|", "series", F.date_format("ts", "yyyyMMdd"))
         )
     )
+    discard(days)
     year, last = F.year("ts"), rows.agg(F.max(F.year("ts"))).scalar()
     return rows.withColumns(
         {"in_train": (year < last).cast("int"), "in_val": (year == last).cast("int")}

@@ -49,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def allow_checkpoints(spark: SparkSession) -> None:
+    """Let iterative learners cut the lineage of what they keep: a checkpoint folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from gridload.learn.tuning import FOREST_RANGES, Search, draw_settings, optimise
 from gridload.operators import checks, select
 from gridload.operators.metrics import curve_areas, label_metrics, score_curve
 from gridload.operators.ordering import SeriesLayout
+from gridload.plans import learning_queries
 from gridload.plans.analysis import run_analysis
 from gridload.prep.features import Preprocessor, engineer, pipeline_info
 from gridload.prep.isolation import IsolationForest, IsolationModel
@@ -421,3 +422,30 @@ def test_analysis_runs_end_to_end(spark, sf_dir):
     )
     document, thresholds = sinks.read_document(spark, path)
     assert document.first().metadata.num_features == 12 and thresholds.count() == 20
+
+
+def counted(spark, df, column="heat_demand_total"):
+    """``df`` and an accumulator of how many of its rows were read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(value):
+        reads.add(1)
+        return value
+
+    return df.withColumn(column, seen(column)), reads
+
+
+def test_training_rows_read_the_days_once(spark, sf_dir, monkeypatch):
+    days = learning_queries.daily(spark, sf_dir)
+    watched, reads = counted(spark, days)
+    monkeypatch.setattr(learning_queries, "daily", lambda *_: watched)
+    learning_queries.training_rows(spark, sf_dir)
+    assert reads.value == days.count()
+
+
+def test_forests_keep_the_nodes_of_their_rows(spark, labelled):
+    learner = CostSensitiveClassifier("random_forest", settings={"n_estimators": 3, "max_depth": 4})
+    fitted = learner.fit(labelled, FEATURES, "y")
+    assert fitted.model.stages[-1].getCacheNodeIds()
+    assert spark.sparkContext.getCheckpointDir() is not None
