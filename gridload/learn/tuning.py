@@ -63,6 +63,12 @@ COUNTS = ("tp", "fp", "tn", "fn")
 TASK_ROWS, TASK_MEMORY_MB = 250_000, 32
 
 
+def fits_at_once(table: DataFrame, fits: int, tasks: int | None = None) -> int:
+    """How many fits of ``tasks`` tasks (default: by the table's rows) the cores hold."""
+    tasks = tasks or -(-table.count() // TASK_ROWS) or 1
+    return max(1, min(fits, table.sparkSession.sparkContext.defaultParallelism // tasks))
+
+
 def score_folds(
     learner: CostSensitiveClassifier,
     df: DataFrame,
@@ -73,13 +79,16 @@ def score_folds(
     expanding: bool = False,
 ) -> DataFrame:
     """Out-of-fold scores: each fold is scored by a model fitted on the others
-    (``expanding``: on the earlier ones only)."""
+    (``expanding``: on the earlier ones only). Folds are fitted side by side."""
     table = durable(df)
-    parts = []
-    for f in folds:
+
+    def one(f: int) -> DataFrame:
         rest = F.col(fold) < f if expanding else F.col(fold) != f
         model = learner.fit(table.filter(rest), features, label)
-        parts.append(model.score_rows(table.filter(F.col(fold) == f)))
+        return model.score_rows(table.filter(F.col(fold) == f))
+
+    with ThreadPoolExecutor(fits_at_once(table, len(folds))) as pool:
+        parts = list(pool.map(one, folds))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -209,11 +218,6 @@ class Search:
         """Levels of trees to grow: what a trial takes, up to a factor."""
         return int(learner.settings["n_estimators"]) * int(learner.settings["max_depth"])
 
-    def _width(self, spark: SparkSession, trials: int, tasks: int) -> int:
-        if self.parallel is not None:
-            return self.parallel
-        return max(1, min(trials, spark.sparkContext.defaultParallelism // tasks))
-
     def _evaluate(self, points, train, val, features, label) -> list[dict[str, object]]:
         train, val = (search_table(t, features, label) for t in (train, val))
         counts = class_counts(train, label)
@@ -221,7 +225,8 @@ class Search:
         memory = {"node_memory_mb": min(NODE_MEMORY_MB, TASK_MEMORY_MB * tasks)}
         learners = [self.learner({**memory, **p}) for p in points]
         costly_first = sorted(range(len(points)), key=lambda i: -self._cost(learners[i]))
-        with ThreadPoolExecutor(self._width(spark, len(points), tasks)) as pool:
+        width = self.parallel or fits_at_once(train, len(points), tasks)
+        with ThreadPoolExecutor(width) as pool:
             jobs = {
                 i: pool.submit(self._run, learners[i], train, counts, val, features, label)
                 for i in costly_first

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridload.learn.classifiers import CostSensitiveClassifier, FittedClassifier
-from gridload.learn.tuning import optimise_thresholds
+from gridload.learn.tuning import fits_at_once, optimise_thresholds
 from gridload.operators.folds import year_split
 from gridload.operators.metrics import optimal_report
 from gridload.operators.ordering import DEFAULT_LAYOUT, SeriesLayout
@@ -23,7 +23,7 @@ from gridload.prep.features import (
     analysis_features,
     keep_surviving,
 )
-from gridload.session import durable
+from gridload.session import discard, durable
 
 MODEL_KINDS = {
     "logistic_regression": ("logistic", {}),
@@ -59,10 +59,13 @@ def prepare_rows(
 
     Thresholds, outlier forest and scaler are all learned on the training years.
     """
-    split = year_split(df, layout.time)
+    # read for years, thresholds, positions and windows: what makes it runs once
+    source = durable(df)
+    split = year_split(source, layout.time)
     training = split.filter("in_train = 1")
     thresholds = durable(seasonal_thresholds(training, layout.keys, demand, cop))
     rows = durable(analysis_features(split, thresholds, demand, cop, layout))
+    discard(source)
     keys = (*layout.keys, layout.time)
     steps = Preprocessor(
         imputation="none",
@@ -102,28 +105,33 @@ def run_analysis(
     val = rows.filter("in_val = 1")
     row_id = F.concat_ws("|", *layout.keys, F.col(layout.time).cast("string"))
 
-    def one(name: str, kind: str, settings: dict) -> tuple[FittedClassifier, float, DataFrame]:
-        learner = CostSensitiveClassifier(kind, cost_ratio, settings=settings)
-        model = learner.fit(train, features, label)
+    def tuned(learner: CostSensitiveClassifier) -> float:
         found = optimise_thresholds(
             learner, val.withColumn("_id", row_id), features, label, folds, "_id", names=["f1"]
         )
-        part = model.score_rows(val).select(
+        return float(found.first()["threshold"])
+
+    # neither models nor their threshold folds depend on each other: their many small
+    # jobs share the cluster
+    learners = {
+        name: CostSensitiveClassifier(kind, cost_ratio, settings=settings)
+        for name, (kind, settings) in (kinds or MODEL_KINDS).items()
+    }
+    width = max(len(learners), fits_at_once(rows, 2 * len(learners)))
+    with ThreadPoolExecutor(width) as pool:
+        fits = {name: pool.submit(w.fit, train, features, label) for name, w in learners.items()}
+        searches = {name: pool.submit(tuned, w) for name, w in learners.items()}
+        models = {name: job.result() for name, job in fits.items()}
+        decision = {name: job.result() for name, job in searches.items()}
+    parts = [
+        model.score_rows(val).select(
             F.lit(name).alias("model"),
             F.explode(F.array(F.lit("val"), F.lit("test"))).alias("part"),
             F.col(label).alias("y_true"),
             "y_proba",
         )
-        return model, float(found.first()["threshold"]), part
-
-    # the models do not depend on each other: their many small jobs share the cluster
-    chosen = kinds or MODEL_KINDS
-    with ThreadPoolExecutor(len(chosen)) as pool:
-        jobs = {name: pool.submit(one, name, *how) for name, how in chosen.items()}
-        done = {name: job.result() for name, job in jobs.items()}
-    models = {name: model for name, (model, _, _) in done.items()}
-    decision = {name: threshold for name, (_, threshold, _) in done.items()}
-    parts = [part for _, _, part in done.values()]
+        for name, model in models.items()
+    ]
     scored = reduce(DataFrame.unionByName, parts)
     report = optimal_report(scored, decision, ["model", "part"])
     best = models.get("gradient_boosting") or next(iter(models.values()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,12 +11,18 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from gridload.learn.classifiers import CostSensitiveClassifier, FittedClassifier
-from gridload.learn.tuning import FOREST_RANGES, Search, draw_settings, optimise_thresholds
+from gridload.learn.tuning import (
+    FOREST_RANGES,
+    Search,
+    draw_settings,
+    optimise_thresholds,
+    score_folds,
+)
 from gridload.operators import checks, select
 from gridload.operators.metrics import curve_areas, label_metrics, score_curve
 from gridload.operators.ordering import SeriesLayout
 from gridload.plans import learning_queries
-from gridload.plans.analysis import run_analysis
+from gridload.plans.analysis import prepare_rows, run_analysis
 from gridload.prep.features import Preprocessor, engineer, pipeline_info
 from gridload.prep.isolation import IsolationForest, IsolationModel
 from gridload.prep.neighbours import _code, _order_table, _shares, knn_impute
@@ -449,3 +457,23 @@ def test_forests_keep_the_nodes_of_their_rows(spark, labelled):
     fitted = learner.fit(labelled, FEATURES, "y")
     assert fitted.model.stages[-1].getCacheNodeIds()
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_folds_are_fitted_side_by_side(spark, labelled):
+    together = threading.Barrier(3, timeout=60)
+
+    class Meeting(CostSensitiveClassifier):
+        def fit(self, *args):
+            together.wait()
+            return super().fit(*args)
+
+    folds = labelled.withColumn("fold", F.col("row_id") % 3)
+    learner = Meeting("logistic", settings={"max_iter": 5})
+    assert score_folds(learner, folds, FEATURES, "y", [0, 1, 2]).count() == 600
+
+
+def test_analysis_reads_its_source_once(spark, sf_dir):
+    days = learning_queries.daily(spark, sf_dir)
+    watched, reads = counted(spark, days)
+    prepare_rows(watched, outliers=False)
+    assert reads.value == days.count()
